@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgework.llm import markup, mixing, ranking, splitting, tokenizing
+from sedgework.llm import markup, mixing, neardup, ranking, splitting, tokenizing, truncation
 from sedgework.session import checkpointed, table
 
 PARENT_LIMIT, CHUNK_LIMIT, OVERLAP = 4000, 2000, 200
@@ -15,6 +15,20 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.leximin_vectors(table(spark, sf_dir, "scored_chunks"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = table(spark, sf_dir, "parents").select(F.lit("parent").alias("kind"), "id", F.col("content").alias("text"))
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("kind"), "id", F.col("chunk_content").alias("text"))
+    return parents.union(chunks)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_pairs(_records(spark, sf_dir))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(_records(spark, sf_dir))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = splitting.split_oversized(table(spark, sf_dir, "parents"), "id", "content", PARENT_LIMIT, OVERLAP)
     chunks = splitting.split_oversized(table(spark, sf_dir, "chunks"), "id", "chunk_content", CHUNK_LIMIT, OVERLAP)
@@ -67,9 +81,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixture(spark, sf_dir))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("truncated").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(_judged(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_cleaned, p8_ids, p9_found, p9_mixture, p9_shares)
+    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_cleaned, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
 }
 
 _P5 = """
