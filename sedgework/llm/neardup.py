@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgework.llm import fingerprints as fp
@@ -128,27 +128,38 @@ def candidates(prints: DataFrame) -> DataFrame:
     return left.join(right, near).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
 
 
-def _bit(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+def bit_of(value: str) -> int:
+    """The place of a string in a bitmap, as :func:`bit_filter` computes it in the JVM."""
+    return xxhash.xxh64_intdigest(value.encode(), 42) % FILTER_BITS
 
 
-def bit_filter(values: DataFrame, column: str) -> bytes:
-    """A bitmap of fixed size over hashed values: 1 MB, whatever the number of values."""
-    bit = _bit(F.col(column))
-    words = values.groupBy((bit / 64).cast("long").alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(`{column}`), {FILTER_BITS}), 64) as int))")).alias("m")
+def bit_filter(values: DataFrame, column: str) -> np.ndarray:
+    """A bitmap (uint8) of fixed size over hashed strings: 1 MB, whatever the number of values."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    marks = values.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("m")
     )
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, m in words.collect():  # at most FILTER_BITS / 64 rows
+    for w, m in marks.collect():  # at most FILTER_BITS / 64 rows
         bitmap[w] = m
-    return bitmap.tobytes()
+    return bitmap.view(np.uint8)
 
 
-def may_contain(bitmap: bytes, c: Column) -> Column:
-    """Whether the value may be one of those in the bitmap; never false for one that is."""
-    bit = _bit(c)
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+def where_may_contain(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose value may be one of those in the bitmap; never loses one that is.
+
+    The bitmap is a broadcast variable, not a literal: plans, and the logs that
+    repeat them, stay small.
+    """
+    shared, at = df.sparkSession.sparkContext.broadcast(bitmap), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            places = np.fromiter(map(bit_of, batch.column(at).to_pylist()), np.int64, batch.num_rows)
+            yield batch.filter(pa.array(bits[places >> 3] >> (places & 7) & 1 == 1))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +180,11 @@ def class_links(records: DataFrame, prints: DataFrame) -> DataFrame:
     """
     pairs = checkpointed(candidates(prints))
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    stands = prints.join(ends, "class", "left_semi").groupBy("class").agg(F.min(F.struct("kind", "id", )).alias("r"))
+    stands = prints.join(ends, "class", "left_semi").groupBy("class").agg(F.min(F.struct("kind", "id")).alias("r"))
     stands = checkpointed(stands.select("class", "r.kind", "r.id"))
     bitmap = bit_filter(stands, "id")
-    texts = records.where(may_contain(bitmap, F.col("id"))).select("kind", "id", "text")
-    texts = texts.where(F.char_length("text") >= LEAST_CHARS).join(stands, ["kind", "id"]).groupBy("class").agg(F.min("text").alias("text"))
+    texts = records.where((F.char_length("text") >= LEAST_CHARS) & F.col("id").isNotNull()).select("kind", "id", "text")
+    texts = where_may_contain(texts, "id", bitmap).join(stands, ["kind", "id"]).groupBy("class").agg(F.min("text").alias("text"))
     sides = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a")
     sides = sides.join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
     verified = sides.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double")
