@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgework.llm import markup, mixing, neardup, ranking, splitting, tokenizing, truncation
+from sedgework.llm import markup, mixing, neardup, ranking, scanned, splitting, tokenizing, truncation
 from sedgework.session import checkpointed, table
 
 PARENT_LIMIT, CHUNK_LIMIT, OVERLAP = 4000, 2000, 200
@@ -29,6 +29,22 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(_records(spark, sf_dir))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, chunks = table(spark, sf_dir, "parents"), table(spark, sf_dir, "chunks")
+    place = [F.col("file_path").alias("file"), F.col("line_start").cast("long").alias("line")]
+    has_heading = F.col("heading").isNotNull().alias("heading")
+    blocks = [F.lit("chunk").alias("kind"), "id", *place, F.col("chunk_content").alias("text"), F.lit(False).alias("heading")]
+    return parents.select(F.lit("parent").alias("kind"), "id", *place, F.col("content").alias("text"), has_heading).union(chunks.select(*blocks))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.defects(_pages(spark, sf_dir))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repaired(_pages(spark, sf_dir))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = splitting.split_oversized(table(spark, sf_dir, "parents"), "id", "content", PARENT_LIMIT, OVERLAP)
     chunks = splitting.split_oversized(table(spark, sf_dir, "chunks"), "id", "chunk_content", CHUNK_LIMIT, OVERLAP)
@@ -95,7 +111,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_cleaned, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
+    for f in (p2_found, p2_groups, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_cleaned, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
 }
 
 _P5 = """
