@@ -163,11 +163,26 @@ def where_may_contain(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFra
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared by all distinct shingles, as sorted 64-bit hashes made once for each text of a batch."""
     for batch in batches:
+        texts: dict[str, int] = {}
+        sides = [[texts.setdefault(t, len(texts)) for t in map(normalised, batch.column(i).to_pylist())] for i in (2, 3)]
+        if not texts:
+            continue
+        hashes, owner = fp.char_shingles(list(texts), SHINGLE)
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        hashes, owner = hashes[new], owner[new]
+        sets = np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))
         out = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            s, t = ({z[i : i + SHINGLE] for i in range(len(z) - SHINGLE + 1)} for z in map(normalised, (x, y)))
-            both = len(s & t)
+        for x, y in zip(*sides):
+            s, t = sets[x], sets[y]
+            if min(len(s), len(t)) < THRESHOLD * max(len(s), len(t)):
+                out.append(0.0)
+                continue
+            both = len(np.intersect1d(s, t, assume_unique=True))
             out.append(both / (len(s) + len(t) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
