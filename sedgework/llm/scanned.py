@@ -59,15 +59,15 @@ _ID = (
 _IDS = re.compile(rf"(?:{_ID})\)?\Z")
 _PARTS = re.compile(r"\s{2,}|\s[–—|·•-]\s|,\s|\s?\((?=[^()]*\)\Z)")
 _STOP = re.compile(r"[.!?。！？:;,，、；：]\W*\Z")
-_BROKEN = re.compile(rf"([^\W\d_])[{HYPHENS}][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+_BROKEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _WORD = re.compile(r"[@†$]?[A-Za-zÀ-ɏ0-9]+(?:[@!†$]+[A-Za-zÀ-ɏ0-9]+)*[@†$]?")
 _COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 _SEAM = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t]*\r?\n[ \t]*([^\W\d_]+)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
+_PAIRED = re.compile(f"[{''.join(x + y for x, y in CJK_PAIRS)}]")
 _HEXLIKE = re.compile(r"[0-9a-f]+|\d.*|.*\d\d.*|[A-Z]{1,3}\d+", re.S)
 _JOINED = re.compile(r"[/\\_=#:.~]")
 _NUMBERED = re.compile(r"-\d")
-_TAG = re.compile(r"<[^<>\n]{1,200}>")
 
 
 def masked(line: str) -> str:
@@ -99,6 +99,8 @@ def _shape(s: str) -> str:
 
 def judge(text: str, heading: bool = False) -> list[Line]:
     """What each line of a text is. The first line is left alone when it is a heading's."""
+    if "\n" not in text:
+        return [Line("pageno" if _PAGENO.fullmatch(text.strip()) else "text", text)]
     lines = text.replace("\r\n", "\n").split("\n")
     stripped = [x.strip() for x in lines]
     out, mark = [Line("text", x) for x in lines], ""
@@ -151,39 +153,50 @@ def flowing(lines: list[Line], also: frozenset[str] = frozenset()) -> str:
 
 
 def joined(text: str) -> str:
-    return _BROKEN.sub(r"\1", text)
+    return _BROKEN.sub("", text) if "\n" in text else text
 
 
-def words_of(text: str) -> Iterator[str]:
-    """Words in lower case that are no part of a path, identifier or address, and pairs of CJK neighbours."""
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    for m in _WORD.finditer(text):
+def words_of(token: str) -> Iterator[str]:
+    """Words of a lower-case token without blanks, unless they are part of a path, identifier or address.
+
+    Of CJK text the pairs of neighbours that hold a character of a confusable pair;
+    others can neither be misread nor be what was meant.
+    """
+    for m in _WORD.finditer(token):
         a, b = m.span()
-        if b - a > 2 and not _NUMBERED.match(text, b) and not (a and _JOINED.match(text[a - 1])) and not (b + 1 < len(text) and _JOINED.match(text[b]) and text[b + 1].isalnum()):
-            yield m[0].lower()
-    for run in _CJK.findall(text):
-        for i in range(len(run) - 1):
-            yield run[i : i + 2]
+        if b - a > 2 and not _NUMBERED.match(token, b) and not (a and _JOINED.match(token[a - 1])) and not (
+            b + 1 < len(token) and _JOINED.match(token[b]) and token[b + 1].isalnum()
+        ):
+            yield m[0]
+    if not token.isascii() and _PAIRED.search(token):
+        for run in _CJK.finditer(token):
+            chars = run[0]
+            for i in {j for m in _PAIRED.finditer(chars) for j in (m.start() - 1, m.start())}:
+                if 0 <= i < len(chars) - 1:
+                    yield chars[i : i + 2]
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of a task, combined before the shuffle and passed on whenever many have gathered."""
-    counts: Counter[str] = Counter()
+    """Word counts of a task, combined before the shuffle and passed on whenever many tokens have gathered."""
+    tokens: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
+        counts: Counter[str] = Counter()
+        for token, n in tokens.items():
+            for w in words_of(token):
+                counts[w] += n
+            if "-" in token:
+                for m in _COMPOUND.finditer(token):
+                    counts[m[0]] += n
+        tokens.clear()
+        return pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
         )
-        counts.clear()
-        return out
 
     for batch in batches:
         for text, heading in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            flow = joined(flowing(judge(text, heading)))
-            counts.update(words_of(flow))
-            counts.update(x.lower() for x in _COMPOUND.findall(flow))
-            if len(counts) > 200_000:
+            tokens.update(joined(flowing(judge(text, heading))).lower().split())
+            if len(tokens) > 200_000:
                 yield flush()
     yield flush()
 
@@ -280,15 +293,14 @@ def corrections(words: DataFrame) -> DataFrame:
 def _observed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``kind, id, what, word, file, line``: sure defects, joined words, words that may be bad, lines that may be headers."""
     bits = shared.value
-    known: dict[str, bool] = {}
+    known: dict[str, tuple[str, ...]] = {}
 
-    def may_be_bad(w: str) -> bool:
-        k = known.get(w)
+    def may_be_bad(token: str) -> tuple[str, ...]:
+        k = known.get(token)
         if k is None:
             if len(known) > 500_000:
                 known.clear()
-            b = bit_of(w)
-            k = known[w] = bool(bits[b >> 3] >> (b & 7) & 1)
+            k = known[token] = tuple(w for w in words_of(token) if bits[(b := bit_of(w)) >> 3] >> (b & 7) & 1)
         return k
 
     for batch in batches:
@@ -313,7 +325,7 @@ def _observed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 for m in _SEAM.finditer(flow):
                     put(kind, id_, "seam", f"{m[1]}-{m[2]}".lower(), None, None)
                 flow = joined(flow)
-            for w in {w for w in words_of(flow) if may_be_bad(w)}:
+            for w in {w for token in set(flow.lower().split()) for w in may_be_bad(token)}:
                 put(kind, id_, "word", w, None, None)
         types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["kind", "id", "what", "word", "file", "line"])
