@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space that trimming takes off, line ends and the byte order mark included.
-BLANKS = r"[\s\x0B   -     　﻿]"
+BLANKS = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def trimmed(c: Column) -> Column:

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from sedgework.functions.text import sha12, token_estimate
 
 # Fixed values of the format.
-HEADING = re.compile(r"#{1,6}\s+[^\n\r  ]+\Z")
+HEADING = re.compile(r"#{1,6}\s+[^\n\r\u2028\u2029]+\Z")
 FENCE = re.compile(r"\s*(?:```|~~~)")
 WINDOW_LINES, SEARCH_LINES, LEAST_WINDOW = 50, 15, 10
 LEAST_FLAT, LEAST_CHILD, PARENT_LINES = 20, 10, 200
-_TRIM = " \t\n\r\x0b\x0c                　﻿"
+_TRIM = " \t\n\r\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 @dataclass(frozen=True)

@@ -36,11 +36,15 @@ def seed_matches(seed: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
     return seed.join(known, "path", "left_semi"), seed.join(known, "path", "left_anti")
 
 
+def _without(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: F.regexp_replace(x, pattern, "")
+
+
 def parse_tags(answer: Column) -> Column:
     """One line of tags from a model's answer: lines freed of labels, numbers and bullets, joined, at most 300 characters."""
     lines = F.transform(F.split(answer, "\n"), trimmed)
     for pattern in (r"^[^:：]{1,14}[:：]\s*", r"^\d+[.、)）]\s*", r"^[-*•]\s*"):
-        lines = F.transform(lines, lambda x, p=pattern: F.regexp_replace(x, p, ""))
+        lines = F.transform(lines, _without(pattern))
     return F.nullif(F.substring(F.array_join(F.filter(lines, lambda x: x != ""), ", "), 1, MOST_CHARS), F.lit(""))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 DELIMITERS = ",;|\t\n\r、，；"
 QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "‘": "’", "「": "」", "『": "』", "«": "»"}
 
-_BLANK = " \t\n\r 　   ﻿"
+_BLANK = " \t\n\r\u00a0\u2002\u2003\u2009\u202f\u3000\ufeff"
 _DOUBT = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 
 
@@ -33,7 +33,7 @@ def _closing(text: str, start: int) -> int:
         if text[i + 1 : i + 2] == close:
             i += 2
             continue
-        rest = text[i + 1 :].lstrip("  　")
+        rest = text[i + 1 :].lstrip(" \u00a0\u3000")
         if not rest or rest[0] in DELIMITERS or (rest[0] == "/" and (len(rest) < 2 or rest[1] in _BLANK)):
             return i + 1
         i += 1
