@@ -54,6 +54,7 @@ class Node:
     chars: int = 0
     tags: int = 0
     link_chars: int = 0
+    link_tags: int = 0
     density: float = 0.0
     density_sum: float = 0.0
 
@@ -103,15 +104,16 @@ def _measure(root: Node) -> None:
                 node.chars += c.chars
                 node.tags += 1 + c.tags
                 node.link_chars += c.link_chars
+                node.link_tags += c.link_tags
         if node.tag == "a":
-            node.link_chars = node.chars
+            node.link_chars, node.link_tags = node.chars, node.tags + 1
     body_links, body_chars = root.link_chars, max(1, root.chars)
     for node in reversed(order):
         c, lc, t = node.chars, node.link_chars, max(1, node.tags)
         if c:
-            free = max(1, c - lc)
-            base = math.log(max(math.e, c / free * lc + body_links / body_chars * c + math.e))
-            node.density = c / t * math.log(max(1.0001, c * t / (max(1, lc) * max(1, t)))) / base
+            base = math.log(c / max(1, c - lc) * lc + body_links / body_chars * c + math.e)
+            adjusted = math.log(max(1.0, c / max(1, lc) * t / max(1, node.link_tags)))
+            node.density = c / t * adjusted / max(0.1, math.log(base))
         node.density_sum = sum(ch.density for ch in node.children if isinstance(ch, Node)) + (
             node.density if not any(isinstance(ch, Node) for ch in node.children) else 0.0
         )

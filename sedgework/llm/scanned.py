@@ -38,9 +38,7 @@ CONFUSABLE = (
 PAIRS = tuple(tuple(p.split(">")) for p in CONFUSABLE.split())
 CJK_PAIRS = tuple(p for p in PAIRS if ord(p[0][0]) > 0x2FFF)
 LATIN_PAIRS = tuple(p for p in PAIRS if p not in CJK_PAIRS)
-#: Marks that stand inside words only by misreading.
-SYMBOLS = "@!†$"
-HYPHENS = "-‐‑¬­"
+HYPHENS = "-\u2010\u2011\u00ac\u00ad"
 #: A correction is at least this many times as frequent as the word it replaces.
 RATIO, LEAST_FREQUENT = 4, 4
 

@@ -36,7 +36,7 @@ _ITEM = re.compile(r"[ \t]*(?:[-+*•・]|\d{1,3}[.)])[ \t]+\S")
 _HEAD = re.compile(r"[ \t]*#{1,6}[ \t]+\S")
 _PATH = re.compile(r"(?:\w+:/)?/?[\w.~-]+(?:/[\w.~-]+)+\.[A-Za-z]{1,9}$")
 _LABEL = re.compile(r"[^\W\d_][\w ]{0,23}[:：][ \t]*\S")
-_IGNORED = re.compile(r"[\s​-‏ -‮⁠-⁤﻿­]+$")
+_IGNORED = re.compile(r"[\s\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\u00ad]+$")
 MAX_CLOSING = 80
 
 
