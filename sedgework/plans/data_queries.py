@@ -56,7 +56,28 @@ cases as (
   from seen left join state on seen.path = state.path)
 """
 
+# apostrophes between letters are set aside, so that every other single quote encloses
+_P7 = r"""
+with packed as (
+  select path, regexp_replace(max(metadata), '([A-Za-z])''([a-z])', '\1' || chr(2) || '\2', 'g') as m from files where path is not null group by path),
+cut as (
+  select path, string_split(regexp_replace(m,
+    '("(?:[^"]|"")*"|''(?:[^'']|'''')*''|“[^”]*”|„[^“]*“|‘[^’]*’|「[^」]*」|『[^』]*』|«[^»]*»)|[,;|\t\n\r、，；]|(?:^|\s)/(?:\s|$)',
+    '\1' || chr(31), 'g'), chr(31)) as parts from packed where m is not null),
+trimmed as (
+  select path, list_filter(list_transform(parts, lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288))), lambda p: p <> '') as vs from cut),
+bare as (
+  select path, list_filter(list_transform(vs, lambda p: replace(trim(
+    case when length(p) > 1 and p[1] = '"' and p[-1] = '"' then replace(p[2:-2], '""', '"')
+      when length(p) > 1 and p[1] = chr(39) and p[-1] = chr(39) then replace(p[2:-2], chr(39) || chr(39), chr(39))
+      when length(p) > 1 and p[1] in ('“', '„', '‘', '「', '『', '«') and p[-1] in ('”', '“', '’', '」', '』', '»') then p[2:-2] else p end),
+    chr(2), chr(39))), lambda p: p <> '') as vs from trimmed),
+tags as (select path, cast(unnest(range(1, len(vs) + 1)) as int) as pos, unnest(vs) as value from bare)
+"""
+
 SQL = {
+    "p7_found": _P7 + "select path, pos, value from tags",
+    "p7_tag_counts": _P7 + "select value, count(*) as uses, min(pos) as first_pos from tags group by value",
     "p1_found": _P1 + "select path from cases where reason is not null",
     "p1_reasons": _P1 + "select reason, count(*) as paths from cases where reason is not null group by reason",
 }
