@@ -5,7 +5,7 @@ Two records are near copies if they share at least ``THRESHOLD`` of their distin
 substrings, cut into segments of ``SEGMENT`` symbols. The Hamming ball of radius 1
 around a segment is enumerated by leaving out each symbol in turn; records that
 agree on one of these keys differ in at most one symbol of the segment and are
-fetched by a join on the key. The key's rows carry a 128-bit sketch, so the complete
+fetched by a join on the key. The key's rows carry a 192-bit sketch, so the complete
 distance is tested inside that join and pairs that merely share phrases are never
 written. What remains is verified on the texts.
 
@@ -16,6 +16,8 @@ them, so a group of copies costs one key row per task, not its square.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,17 @@ from sedgework.session import checkpointed
 
 LEAST_CHARS, SHINGLE, THRESHOLD = 240, 5, 0.6
 SEGMENTS, SEGMENT = 6, 5
-BINS, SKETCH_FUNCTIONS = 32, 4
-#: Of 128 sketch bits, a pair at the threshold is expected to differ in 25.6; 39 is 2.9 deviations more.
-MOST_BITS = 39
+BINS, SKETCH_FUNCTIONS = 32, 6
+#: Of 192 sketch bits, a pair at the threshold is expected to differ in 38.4; 54 is 2.8 deviations more.
+MOST_BITS = 54
+SKETCH = tuple(f"s{i + 1}" for i in range(BINS * SKETCH_FUNCTIONS // 64))
 BATCH_CHARS = 1 << 21
 FILTER_BITS = 1 << 23
 
 
+_LONGS = ", ".join(f"{s} long" for s in SKETCH)
+
+
 def normalised(text: str) -> str:
     """Runs of white space made one blank, ends trimmed, lower case."""
     return " ".join(text.split()).lower()
@@ -68,7 +74,7 @@ def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[
         rows.append((kind, id_, h, first))
     new = np.array([r[3] for r in rows], bool)
     symbols: list[bytes | None] = [None] * len(rows)
-    sketches = np.zeros((len(rows), 2), np.int64)
+    sketches = np.zeros((len(rows), len(SKETCH)), np.int64)
     if fresh:
         hashes, owner = fp.char_shingles(fresh, SHINGLE)
         minima = fp.bin_minima(hashes, owner, len(fresh), BINS, 1 + SKETCH_FUNCTIONS)
@@ -81,18 +87,17 @@ def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[
             pa.array([r[0] for r in rows], pa.string()),
             pa.array([r[1] for r in rows], pa.string()),
             pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)),
-            pa.array(sketches[:, 0]),
-            pa.array(sketches[:, 1]),
+            *(pa.array(sketches[:, i]) for i in range(len(SKETCH))),
             pa.array(symbols, pa.binary()),
         ],
-        ["kind", "id", "class", "s1", "s2", "symbols"],
+        ["kind", "id", "class", *SKETCH, "symbols"],
     )
 
 
 def fingerprinted(records: DataFrame) -> DataFrame:
-    """``kind, id, class, s1, s2, symbols`` of ``records(kind, id, text)`` with at least 240 normalised characters."""
+    """``kind, id, class``, the sketch and the symbols of ``records(kind, id, text)`` with at least 240 normalised characters."""
     rows = records.where((F.char_length("text") >= LEAST_CHARS) & F.col("id").isNotNull()).select("kind", "id", "text")
-    return rows.mapInArrow(_fingerprints, "kind string, id string, class long, s1 long, s2 long, symbols binary")
+    return rows.mapInArrow(_fingerprints, "kind string, id string, class long, " + _LONGS + ", symbols binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +109,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(n, SEGMENTS, SEGMENT)
+        raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).reshape(n, SEGMENTS, SEGMENT)
         part = fp.mix(raw.astype(np.uint64) + np.uint64(1)) * weights
-        kind = np.array([salts.setdefault(k, xxhash.xxh3_64_intdigest(k)) for k in batch.column(4).to_pylist()], np.uint64)
+        kind = np.array([salts.setdefault(k, xxhash.xxh3_64_intdigest(k)) for k in batch.column(1).to_pylist()], np.uint64)
         keys = fp.mix(part.sum(axis=2, keepdims=True) - part + places + kind[:, None, None]).reshape(n * balls).view(np.int64)
-        repeated = [pa.array(np.repeat(batch.column(i).to_numpy(), balls)) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *repeated], ["key", "class", "s1", "s2"])
+        repeated = [pa.array(np.repeat(batch.column(i).to_numpy(), balls)) for i in range(2, 3 + len(SKETCH))]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *repeated], ["key", "class", *SKETCH])
 
 
 def candidates(prints: DataFrame) -> DataFrame:
@@ -119,11 +124,11 @@ def candidates(prints: DataFrame) -> DataFrame:
     many different texts share is one that adaptive execution splits; the test of
     the complete distance is part of the join, so its pairs are not written.
     """
-    rows = prints.where("symbols is not null").select("class", "s1", "s2", "symbols", "kind").mapInArrow(
-        _keys, "key long, class long, s1 long, s2 long"
+    rows = prints.where("symbols is not null").select("symbols", "kind", "class", *SKETCH).mapInArrow(
+        _keys, "key long, class long, " + _LONGS
     )
     left, right = rows.alias("l"), rows.alias("r")
-    bits = F.bit_count(F.col("l.s1").bitwiseXOR(F.col("r.s1"))) + F.bit_count(F.col("l.s2").bitwiseXOR(F.col("r.s2")))
+    bits = reduce(add, (F.bit_count(F.col(f"l.{s}").bitwiseXOR(F.col(f"r.{s}"))) for s in SKETCH))
     near = (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & (bits <= MOST_BITS)
     return left.join(right, near).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
 
