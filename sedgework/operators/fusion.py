@@ -93,6 +93,20 @@ def hybrid_search(
     return rows.select("query_id", "id", "bm25", "vector", "hybrid", "rerank", "place", *extra)
 
 
+def context(rows: DataFrame, limit: int = 5) -> DataFrame:
+    """``query_id, context``: the best rows as one text, each with a line that says where it stands.
+
+    ``rows`` has ``query_id, place, path, line_start, line_end, heading, content``.
+    """
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    where = F.concat(F.lit("### "), name, F.lit(" (lines "), "line_start", F.lit("-"), "line_end", F.lit(")"))
+    section = F.when(F.col("heading").isNotNull(), F.concat(F.lit(" — § "), "heading")).otherwise("")
+    block = F.concat(where, section, F.lit("\n```\n"), F.coalesce("content", F.lit("")), F.lit("\n```"))
+    kept = rows.where(F.col("place") <= limit).select("query_id", "place", block.alias("block"))
+    parts = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "block"))).alias("bs"))  # at most limit
+    return parts.select("query_id", F.array_join("bs.block", "\n\n").alias("context"))
+
+
 def reranked(rows: DataFrame, queries: DataFrame, scorer: Callable[[str, list[str]], list[float]], passage: str, limit: int) -> DataFrame:
     """Scores clamped to 0..1, what is no number is 0; then the best ``limit``, ties in the order they had."""
     rows = rows.drop("rerank").withColumn("_passage", F.coalesce(passage, "content"))

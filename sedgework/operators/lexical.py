@@ -45,14 +45,19 @@ def _blocks(queries: list[tuple]) -> Iterator[list[tuple]]:
         yield block
 
 
-def _matcher(block: list[tuple[int, list[str]]]):
-    """Arrow function: rows ``query, id, f (array), length`` for hits, and ``term, n`` counts with null query."""
+def _matcher(block: list[tuple[int, list[str]]], weights: Sequence[float], every: bool):
+    """Arrow function: rows ``query, id, f (array), length`` for hits, and ``term, n`` counts with null query.
+
+    Columns of weight 0 are not searched. A query is tried on a row only if the row
+    holds its longest term, or any of its terms if not ``every`` one is needed.
+    """
     terms = sorted({t for _, ts in block for t in ts})
     number = {t: i for i, t in enumerate(terms)}
     wanted = [(q, [number[t] for t in ts]) for q, ts in block]
     first: dict[int, list[tuple[int, list[int]]]] = {}
     for q, ts in wanted:
-        first.setdefault(max(ts, key=lambda t: len(terms[t])), []).append((q, ts))
+        for t in {max(ts, key=lambda t: len(terms[t]))} if every else set(ts):
+            first.setdefault(t, []).append((q, ts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -65,19 +70,18 @@ def _matcher(block: list[tuple[int, list[str]]]):
             seen: Counter[int] = Counter()
             hits: list[list] = [[], [], [], []]
             ids, length = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            columns = [batch.column(2 + c).to_pylist() for c in range(len(WEIGHTS))]
+            columns = [batch.column(2 + c).to_pylist() if w else [] for c, w in enumerate(weights)]
             for i, id_ in enumerate(ids):
                 f: dict[int, float] = {}
-                for column, weight in zip(columns, WEIGHTS):
-                    if column[i]:
+                for column, weight in zip(columns, weights):
+                    if column and column[i]:
                         for _, t in automaton.iter(column[i]):
                             f[t] = f.get(t, 0.0) + weight
                 seen.update(f.keys())
-                for t in f:
-                    for q, ts in first.get(t, ()):
-                        if all(u in f for u in ts):
-                            for out, x in zip(hits, (q, id_, [f[u] for u in ts], float(length[i]))):
-                                out.append(x)
+                for q, ts in {q: ts for t in f for q, ts in first.get(t, ())}.items():
+                    if not every or all(u in f for u in ts):
+                        for out, x in zip(hits, (q, id_, [f.get(u, 0.0) for u in ts], float(length[i]))):
+                            out.append(x)
             n = len(hits[0])
             m = len(seen)
             yield pa.RecordBatch.from_arrays(
@@ -102,16 +106,23 @@ def _idf(total: int, n: int) -> float:
     return value if value > 0 else LEAST_IDF
 
 
-def bm25(docs: DataFrame, queries: Sequence[tuple[int, str | None]] | DataFrame, limit: int, columns=("content", "path", "metadata")) -> DataFrame:
+def bm25(
+    docs: DataFrame,
+    queries: Sequence[tuple[int, str | None]] | DataFrame,
+    limit: int,
+    weights: Sequence[float] = WEIGHTS,
+    every: bool = True,
+) -> DataFrame:
     """``query_id, id, score, bm25_rank``: the ``limit`` best rows of each query.
 
-    ``docs`` has ``id`` (unique) and the three text columns, weighted 1, 0.5 and
-    1.5. A row counts if every term stands in some column of it, as a substring and
-    ignoring case. Scores are negative, the lowest is the best; ties go to the
+    ``docs`` has ``id`` (unique) and the text columns ``content``, ``path`` and
+    ``metadata``, weighted 1, 0.5 and 1.5. A row counts if every term (or any, if
+    not ``every``) stands in some column of it, as a substring and ignoring case; a
+    weight of 0 leaves a column out of the search, though not out of the lengths. Scores are negative, the lowest is the best; ties go to the
     lesser id. Queries without a term of 3 characters have no rows. The statistics
     cover all rows of ``docs``; null columns are empty.
     """
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, ("content", "path", "metadata")
     if isinstance(queries, DataFrame):
         queries = [tuple(r) for r in queries.select("query_id", "query_text").collect()]  # the batch itself
     parsed = [(q, ts) for q, ts in ((q, query_terms(t)) for q, t in queries) if ts]
@@ -126,7 +137,7 @@ def bm25(docs: DataFrame, queries: Sequence[tuple[int, str | None]] | DataFrame,
     out = None
     for block in _blocks([(q, " ".join(ts)) for q, ts in parsed]):
         chosen = [(q, t.split(" ")) for q, t in block]
-        found = rows.mapInArrow(_matcher(chosen), f"query_id long, id {kind}, f array<double>, length double, term string, n long")
+        found = rows.mapInArrow(_matcher(chosen, weights, every), f"query_id long, id {kind}, f array<double>, length double, term string, n long")
         from sedgework.session import checkpointed
 
         found = checkpointed(found)
@@ -147,19 +158,9 @@ def _score(mean: float) -> Column:
     return -F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
 
-def metadata_hits(files: DataFrame, docs: DataFrame, terms: list[str], limit: int = 1000) -> DataFrame:
-    """``id, score`` of rows whose metadata hold any of the terms of 3 characters or more, the best ``limit``.
-
-    A quotation mark in a term is an ordinary character.
-    """
-    tagged = docs.join(files.where("coalesce(metadata, '') <> ''").select("path", F.col("metadata").alias("tags")), "path")
-    some = None
-    for q, t in enumerate(t for t in terms if len(t) > 2):
-        one = bm25(tagged.select("id", "tags", F.lit("").alias("path"), F.lit("").alias("metadata")), [(q, t.replace(" ", ""))], limit, ("tags", "path", "metadata"))
-        some = one if some is None else some.unionByName(one)
-    if some is None:
-        return docs.sparkSession.createDataFrame([], f"id {dict(docs.dtypes)['id']}, score double")
-    return some.groupBy("id").agg(F.sum("score").alias("score")).orderBy("score", "id").limit(limit)
+def metadata_hits(docs: DataFrame, queries: Sequence[tuple[int, str | None]] | DataFrame, limit: int = 1000) -> DataFrame:
+    """As :func:`bm25`, for rows whose metadata hold any of the terms. A quotation mark in a term is an ordinary character."""
+    return bm25(docs, queries, limit, (0.0, 0.0, WEIGHTS[2]), every=False)
 
 
 def plain_matches(docs: pd.DataFrame, query: str) -> list:

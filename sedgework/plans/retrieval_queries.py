@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgework.functions import vectors as V
-from sedgework.functions.text import basename, extension, sha12, token_estimate
+from sedgework.functions.text import basename, common_directory, extension, sha12, token_estimate
 from sedgework.operators import chunking, fusion, lexical, reports, store, vector
 from sedgework.operators.incremental import hash_key
 from sedgework.operators.metadata import parse_tags
 from sedgework.session import table
+from sedgework.sources import extract
 from sedgework.sources.ignore import compile_patterns
 
 LIMIT, QUERY_STEP = 10, 50
@@ -60,6 +61,31 @@ def bm25_normalized(spark, sf_dir):
     return both.select("query_id", "id", F.round("scaled", 6).alias("scaled"), F.round("normalized", 6).alias("normalized"))
 
 
+def metadata_search(spark, sf_dir):
+    found = lexical.metadata_hits(_chunk_docs(spark, sf_dir), table(spark, sf_dir, "queries"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+def context_block(spark, sf_dir):
+    found = fusion.hybrid_search(_chunk_docs(spark, sf_dir), table(spark, sf_dir, "queries"), limit=5)
+    lines = table(spark, sf_dir, "chunks").groupBy("id").agg(
+        F.min("line_start").alias("line_start"), F.min("line_end").alias("line_end"), F.min("file_path").alias("path"),
+        F.min("chunk_content").alias("content"), F.min("parent_id").alias("parent_id"),
+    )
+    headings = table(spark, sf_dir, "parents").groupBy(F.col("id").alias("parent_id")).agg(F.min("heading").alias("heading"))
+    return fusion.context(found.join(lines, "id").join(headings, "parent_id", "left"))
+
+
+def html_to_markdown(spark, sf_dir):
+    pages = table(spark, sf_dir, "parents").where(F.contains("content", F.lit("</"))).select("id", "content").distinct()
+    convert = F.pandas_udf(lambda s: s.map(extract.html_to_markdown), "string")
+    return pages.select("id", convert("content").alias("markdown"))
+
+
+def common_root(spark, sf_dir):
+    return _files(spark, sf_dir).groupBy(extension(F.col("path")).alias("ext")).agg(common_directory(F.col("path")).alias("root"))
+
+
 def vector_search(spark, sf_dir):
     vectors = _embeddings(spark, sf_dir)
     asked = vectors.where(F.col("id") % QUERY_STEP == 0).withColumnRenamed("id", "query_id")
@@ -265,7 +291,7 @@ def chunk_flat(spark, sf_dir):
 
 
 _NAMES = (
-    "bm25_search bm25_normalized vector_search vector_functions hybrid_search auto_inject parent_recall rerank index_stats files_by_extension "
+    "bm25_search bm25_normalized metadata_search context_block html_to_markdown common_root vector_search vector_functions hybrid_search auto_inject parent_recall rerank index_stats files_by_extension "
     "tagged_files path_search find_glob result_projection chunk_identity index_decisions prune_dropped upsert set_tags tag_lines "
     "coverage_states coverage_moved coverage_verdict conversion_states conversion_counts chunk_markdown chunk_parents chunk_flat"
 ).split()
@@ -294,12 +320,15 @@ stat as (select count(*) as total, sum(d)::double / count(*) as mean from low),
 terms as (select query_id, pos, term from (
   select query_id, generate_subscripts(ts, 1) as pos, unnest(ts) as term
   from (select query_id, list_filter(regexp_split_to_array(lower(query_text), '\\s+'), lambda x: length(x) > 2) as ts from queries))),
-words as (select distinct term from terms),
+words as (select distinct term, len(list_filter(range(1, length(term)), lambda k: term[1:k] = term[length(term) - k + 1:length(term)])) > 0 as bordered from terms),
 f as (
   select id, d, term,
-    1.0 * coalesce(len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(term)) = term)), 0)
-    + 0.5 * coalesce(len(list_filter(range(1, length(p) + 1), lambda i: substr(p, i, length(term)) = term)), 0)
-    + 1.5 * coalesce(len(list_filter(range(1, length(m) + 1), lambda i: substr(m, i, length(term)) = term)), 0) as f
+    1.0 * coalesce(case when bordered then len(list_filter(range(1, length(c) + 1), lambda i: substr(c, i, length(term)) = term))
+      else (length(c) - length(replace(c, term, ''))) / length(term) end, 0)
+    + 0.5 * coalesce(case when bordered then len(list_filter(range(1, length(p) + 1), lambda i: substr(p, i, length(term)) = term))
+      else (length(p) - length(replace(p, term, ''))) / length(term) end, 0)
+    + 1.5 * coalesce(case when bordered then len(list_filter(range(1, length(m) + 1), lambda i: substr(m, i, length(term)) = term))
+      else (length(m) - length(replace(m, term, ''))) / length(term) end, 0) as f
   from low join words on contains(c, term) or contains(p, term) or contains(m, term)),
 idf as (select term, greatest(ln((any_value(total) - count(*) + 0.5) / (count(*) + 0.5)), 0) as raw from f, stat group by term),
 size as (select query_id, count(*) as n from terms group by query_id),
@@ -421,3 +450,20 @@ conv as (select path, reason, case reason when 'ok' then 'up_to_date' when 'chec
 """
 SQL["conversion_states"] = _DOCX + "select path, state, reason from conv"
 SQL["conversion_counts"] = _DOCX + "select state, count(*) as documents from conv group by state"
+SQL["common_root"] = "with" + _FILES + """, d as (select lower(regexp_extract(path, '[^/]+(\\.[^./]*)$', 1)) as ext, string_split(regexp_replace(path, '/[^/]*$', ''), '/') as a from newest),
+e as (select ext, min(a) as lo, max(a) as hi from d group by ext)
+select ext, nullif(array_to_string(lo[1:coalesce(list_min(list_filter(range(1, len(lo) + 1), lambda i: lo[i] is distinct from hi[i])) - 1, len(lo))], '/'), '') as root from e"""
+SQL["metadata_search"] = ("with" + _CHUNK_DOCS + _BM25).replace("contains(c, term) or contains(p, term) or ", "").replace(
+    "1.0 * coalesce(", "0.0 * coalesce(").replace("+ 0.5 * coalesce(", "+ 0.0 * coalesce(").replace(
+    " having count(*) = any_value(size.n)", "").replace("bm25_rank <= 200", "bm25_rank <= 1000") + " select query_id, id, round(score, 6) as score from lex"
+SQL["context_block"] = _CHUNK_HYBRID + _fuse(limit=5) + """,
+c as (select id, min(line_start) as a, min(line_end) as b, min(file_path) as path, min(chunk_content) as content, min(parent_id) as parent_id from chunks group by id),
+h as (select id as parent_id, min(heading) as heading from parents group by id)
+select query_id, string_agg('### ' || regexp_extract(c.path, '[^/]*$') || ' (lines ' || a || '-' || b || ')' || coalesce(' — § ' || heading, '') || chr(10) || '```' || chr(10)
+  || coalesce(c.content, '') || chr(10) || '```', chr(10) || chr(10) order by place) as context
+from placed join c on placed.id = c.id left join h on h.parent_id = c.parent_id group by query_id"""
+SQL["tag_lines"] = "with" + _FILES + """, a as (select path, string_split('Type: report' || chr(10) || '1. ' || regexp_extract(path, '[^/]*$') || chr(10) || chr(10) || '- '
+  || coalesce(replace(metadata, chr(9), ' '), ''), chr(10)) as ls from newest),
+t as (select path, list_filter(list_transform(ls, lambda x: regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(x, '^[\\s\\x{00A0}\\x{3000}]+|[\\s\\x{00A0}\\x{3000}]+$', '', 'g'), '^[^:：]{1,14}[:：]\\s*', ''), '^\\d+[.、)）]\\s*', ''), '^[-*•]\\s*', '')), lambda x: x <> '') as ls from a)
+select path, nullif(substr(array_to_string(ls, ', '), 1, 300), '') as tags from t"""
