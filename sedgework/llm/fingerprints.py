@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -11,6 +12,21 @@ EMPTY = np.uint32(0xFFFFFFFF)
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_]+")
 
 
+BLOCK_CHARS = 1 << 21
+
+
+def blocks(sizes: list[int], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of stretches of rows with about ``most`` characters, so that arrays stay small whatever the batch."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit generator: every input bit changes about half of the output bits."""
     x = (x ^ (x >> np.uint64(30))) * _M2

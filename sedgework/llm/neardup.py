@@ -34,7 +34,6 @@ BINS, SKETCH_FUNCTIONS = 32, 6
 #: Of 192 sketch bits, a pair at the threshold is expected to differ in 38.4; 54 is 2.8 deviations more.
 MOST_BITS = 54
 SKETCH = tuple(f"s{i + 1}" for i in range(BINS * SKETCH_FUNCTIONS // 64))
-BATCH_CHARS = 1 << 21
 FILTER_BITS = 1 << 23
 
 
@@ -51,14 +50,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     seen: set[int] = set()
     for batch in batches:
         kinds, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-        start = 0
-        while start < len(ids):
-            end, chars = start, 0
-            while end < len(ids) and chars < BATCH_CHARS:
-                chars += len(texts[end] or "")
-                end += 1
-            yield _block(kinds[start:end], ids[start:end], texts[start:end], seen)
-            start = end
+        for a, b in fp.blocks([len(t or "") for t in texts]):
+            yield _block(kinds[a:b], ids[a:b], texts[a:b], seen)
 
 
 def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[int]) -> pa.RecordBatch:
@@ -168,30 +161,35 @@ def where_may_contain(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFra
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared by all distinct shingles, as sorted 64-bit hashes made once for each text of a batch."""
     for batch in batches:
-        texts: dict[str, int] = {}
-        sides = [[texts.setdefault(t, len(texts)) for t in map(normalised, batch.column(i).to_pylist())] for i in (2, 3)]
-        if not texts:
-            continue
-        hashes, owner = fp.char_shingles(list(texts), SHINGLE)
-        order = np.lexsort((hashes, owner))
-        hashes, owner = hashes[order], owner[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        hashes, owner = hashes[new], owner[new]
-        sets = np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))
-        out = []
-        for x, y in zip(*sides):
-            s, t = sets[x], sets[y]
-            if min(len(s), len(t)) < THRESHOLD * max(len(s), len(t)):
-                out.append(0.0)
-                continue
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(both / (len(s) + len(t) - both))
+        sides = [[normalised(t) for t in batch.column(i).to_pylist()] for i in (2, 3)]
+        out: list[float] = []
+        for a, b in fp.blocks([len(x) + len(y) for x, y in zip(*sides)]):
+            out += _similarities(sides[0][a:b], sides[1][a:b])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+def _similarities(left: list[str], right: list[str]) -> list[float]:
+    """Shared by all distinct shingles, as sorted 64-bit hashes made once for each text."""
+    number: dict[str, int] = {}
+    sides = [[number.setdefault(t, len(number)) for t in side] for side in (left, right)]
+    hashes, owner = fp.char_shingles(list(number), SHINGLE)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    sets = np.split(hashes, np.searchsorted(owner, np.arange(1, len(number))))
+    out = []
+    for x, y in zip(*sides):
+        s, t = sets[x], sets[y]
+        both = 0
+        if min(len(s), len(t)) >= THRESHOLD * max(len(s), len(t)):
+            both = len(np.intersect1d(s, t, assume_unique=True))
+        out.append(both / (len(s) + len(t) - both))
+    return out
+
+
 def class_links(records: DataFrame, prints: DataFrame) -> DataFrame:
     """``a, b, similarity`` (a < b): pairs of different texts at or over the threshold.
 

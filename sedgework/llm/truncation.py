@@ -97,7 +97,7 @@ def ending(text: str | None) -> tuple[str, str | None]:
     return "cut", None
 
 
-def _signed(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sources, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         states = [ending(t) for t in texts]
@@ -105,12 +105,14 @@ def _signed(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa
         with_text = [i for i, c in enumerate(classes) if c is not None]
         bands: list[list[int] | None] = [None] * len(texts)
         if with_text:
-            hashes, owner = fp.word_shingles([texts[i] for i in with_text], SHINGLE_WORDS)
-            minima = fp.bin_minima(hashes, owner, len(with_text), 16, BANDS * ROWS // 16).astype(np.uint64)
             weights = fp.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-            keys = fp.mix((fp.mix(minima + np.uint64(1)) * weights).reshape(-1, BANDS, ROWS).sum(axis=2)).view(np.int64)
-            for i, row in zip(with_text, keys.tolist()):
-                bands[i] = row
+            for a, b in fp.blocks([len(texts[i]) for i in with_text]):
+                part = with_text[a:b]
+                hashes, owner = fp.word_shingles([texts[i] for i in part], SHINGLE_WORDS)
+                minima = fp.bin_minima(hashes, owner, len(part), 16, BANDS * ROWS // 16).astype(np.uint64)
+                keys = fp.mix((fp.mix(minima + np.uint64(1)) * weights).reshape(-1, BANDS, ROWS).sum(axis=2)).view(np.int64)
+                for i, row in zip(part, keys.tolist()):
+                    bands[i] = row
         yield pa.RecordBatch.from_arrays(
             [
                 ids,
@@ -129,7 +131,7 @@ def _signatures(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
     return rows.mapInArrow(
-        lambda b: _signed(b, None),
+        _signed,
         f"key {kind}, source string, class long, state string, closing string, chars int, bands array<long>",
     )
 
