@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgework.session import checkpointed
+
 SCORES = ("bm25", "vector", "rerank", "hybrid")
 HOT_ROWS = 1_000_000
 
@@ -44,10 +46,11 @@ def _range_ranks(rows: DataFrame, search: str, item: str, score: str) -> DataFra
     Rows are range-partitioned by (search, score), ranked inside their partition,
     and moved by the number of rows of their search in the partitions before. Equal
     scores are in one partition, so ranks are exact. Only counts per (partition,
-    search) are windowed.
+    search) are windowed. The partitioned rows are written before they are read
+    twice, as ranges come from a sample that another run would draw anew.
     """
     some = rows.where(F.col(score).isNotNull()).select(search, item, score)
-    parted = some.repartitionByRange(search, score).withColumn("_p", F.spark_partition_id())
+    parted = checkpointed(some.repartitionByRange(search, score).withColumn("_p", F.spark_partition_id()))
     local = parted.withColumn("_l", F.rank().over(Window.partitionBy(search, "_p").orderBy(score)))
     counts = parted.groupBy(search, "_p").agg(F.count("*").alias("_c"))
     order = Window.partitionBy(search).orderBy("_p")
@@ -86,8 +89,6 @@ def leximin_vectors(
     if not hot:
         ranked = _window_ranks(rows, search, scores)
         return ranked.select(search, item, _vector(scores).alias("percentiles"))
-    from sedgework.session import checkpointed
-
     rows = checkpointed(rows)
     rest = _window_ranks(rows.where(~F.col(search).isin(hot)), search, scores)
     large = rows.where(F.col(search).isin(hot))
@@ -117,10 +118,12 @@ def leximin_ranking(vectors: DataFrame, search: str = "search_id", item: str = "
     """``search, item, place`` with ``place`` from 1; of equal candidates the lesser item comes first.
 
     Sorted by range over (search, percentiles, item) and numbered with offsets per
-    partition, so no search has to fit into one task.
+    partition, so no search has to fit into one task. Ranges come from a sample that
+    another run would draw anew, so the partitioned rows are written before they are
+    read twice.
     """
     order = [F.col(search), F.col("percentiles").desc(), F.col(item)]
-    parted = vectors.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parted = checkpointed(vectors.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     local = parted.withColumn("_l", F.row_number().over(Window.partitionBy(search, "_p").orderBy(*order[1:])))
     counts = parted.groupBy(search, "_p").agg(F.count("*").alias("_c"))
     ahead = Window.partitionBy(search).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
