@@ -47,7 +47,7 @@ def apportion(weights: dict[str, float], seats: int, most: dict[str, int] | None
 
 
 def source_sizes(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, max_repeats, tokens, documents, total`` of each target; sources without rows have 0.
+    """``source, target_share, max_repeats, tokens, documents`` of each target; sources without rows have 0.
 
     ``targets`` is configuration, a row per source. Repeated target rows count once
     (the greatest share and repeats); a null source is no target.
@@ -56,14 +56,13 @@ def source_sizes(sized: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = targets.where("source is not null").groupBy("source").agg(
         F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     )
-    joined = wanted.join(own, "source", "left").select(
+    return wanted.join(own, "source", "left").select(
         "source",
         F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
         F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("documents", F.lit(0)).alias("documents"),
     )
-    return joined.crossJoin(joined.agg(F.sum("tokens").alias("total")))  # one row
 
 
 def quotas(sized: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -77,14 +76,16 @@ def quotas(sized: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFr
     """
     spark = sized.sparkSession
     rows = source_sizes(sized, targets).collect()  # one row per row of the targets' configuration
-    block = max(1, math.ceil((rows[0]["total"] if rows else 0) / blocks))
-    seats = (rows[0]["total"] if rows else 0) // block
+    total = sum(r["tokens"] for r in rows)
+    block = max(1, math.ceil(total / blocks))
+    seats = total // block
     capacity = {r["source"]: r["max_repeats"] * r["tokens"] // block for r in rows}
     won = apportion({r["source"]: r["target_share"] for r in rows}, seats, capacity)
     out = [
         (
             *r,
-            r["target_share"] * r["total"] > r["max_repeats"] * r["tokens"],
+            total,
+            r["target_share"] * total > r["max_repeats"] * r["tokens"],
             won[r["source"]] * block,
             won[r["source"]] / seats if seats else 0.0,
         )
@@ -134,6 +135,5 @@ def shares(mixed: DataFrame) -> DataFrame:
     own = mixed.groupBy("source").agg(
         F.count("*").alias("used_documents"), F.sum(F.col("tokens") * F.col("times")).alias("used_tokens")
     )
-    return own.crossJoin(own.agg(F.sum("used_tokens").alias("_all"))).select(  # one row
-        "source", "used_documents", "used_tokens", (F.col("used_tokens") / F.col("_all")).alias("share")
-    )
+    everything = F.sum("used_tokens").over(Window.partitionBy())  # over one row per source
+    return own.select("*", (F.col("used_tokens") / everything).alias("share"))
