@@ -29,8 +29,8 @@ from sedgework.llm import fingerprints as fp
 from sedgework.session import checkpointed
 
 LEAST_CHARS, SHINGLE, THRESHOLD = 240, 5, 0.6
-SEGMENTS, SEGMENT = 6, 5
-BINS, SKETCH_FUNCTIONS = 32, 6
+SEGMENTS, SEGMENT = 9, 5
+BINS, SYMBOL_FUNCTIONS, SKETCH_FUNCTIONS = 32, 2, 6
 #: Of 192 sketch bits, a pair at the threshold is expected to differ in 38.4; 54 is 2.8 deviations more.
 MOST_BITS = 54
 SKETCH = tuple(f"s{i + 1}" for i in range(BINS * SKETCH_FUNCTIONS // 64))
@@ -70,8 +70,8 @@ def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[
     sketches = np.zeros((len(rows), len(SKETCH)), np.int64)
     if fresh:
         hashes, owner = fp.char_shingles(fresh, SHINGLE)
-        minima = fp.bin_minima(hashes, owner, len(fresh), BINS, 1 + SKETCH_FUNCTIONS)
-        sketches[new] = fp.pack_bits(minima[:, BINS:])
+        minima = fp.bin_minima(hashes, owner, len(fresh), BINS, SYMBOL_FUNCTIONS + SKETCH_FUNCTIONS)
+        sketches[new] = fp.pack_bits(minima[:, SYMBOL_FUNCTIONS * BINS :])
         own = np.ascontiguousarray(minima[:, : SEGMENTS * SEGMENT])
         for i, row in zip(np.flatnonzero(new), own):
             symbols[i] = row.tobytes()
