@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+import time
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +24,7 @@ class Summary:
     indexed: int
     chunks: int
     skipped: int
+    duration_ms: int = field(default=0, compare=False)
 
 
 def changed(read: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
@@ -47,6 +53,7 @@ def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None
     failure leaves the index as it was. Files without a chunk are indexed all the
     same, so that they are skipped the next time.
     """
+    began = time.monotonic()
     listing = stored_paths(listing, store.table("files"))
     read = checkpointed(read_files(listing, read_pdf, ocr))
     todo = checkpointed(changed(read, store.table("files"), force))
@@ -64,11 +71,23 @@ def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None
     if done:
         store.replace_files(files, parents, chunks, vectors)
         store.set_value("last_build", now)
-    return Summary(done, chunks.count(), read.count() - done)
+    return Summary(done, chunks.count(), read.count() - done, round((time.monotonic() - began) * 1000))
+
+
+def still_there(files: DataFrame) -> DataFrame:
+    """``path, real, size`` of the indexed files that exist; looked up by tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(p, os.path.realpath(p), os.path.getsize(p)) for p in pdf["path"] if os.path.isfile(p)]
+            yield pd.DataFrame(found, columns=["path", "real", "size"])
+
+    return files.select("path").mapInPandas(run, "path string, real string, size long")
 
 
 def rebuild(store: IndexStore, listing: DataFrame, embedder: Embedder | None, now: str, force: bool = False) -> Summary:
-    """Files that are not listed go; the others are embedded again, or read as new if forced."""
+    """Files that neither are listed nor exist go; the others are embedded again, or read as new if forced."""
+    listing = checkpointed(listing.unionByName(still_there(store.table("files"))).dropDuplicates(["path"]))
     if force:
         store.clear()
     else:

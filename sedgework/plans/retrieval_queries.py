@@ -467,3 +467,60 @@ SQL["tag_lines"] = "with" + _FILES + """, a as (select path, string_split('Type:
 t as (select path, list_filter(list_transform(ls, lambda x: regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(x, '^[\\s\\x{00A0}\\x{3000}]+|[\\s\\x{00A0}\\x{3000}]+$', '', 'g'), '^[^:：]{1,14}[:：]\\s*', ''), '^\\d+[.、)）]\\s*', ''), '^[-*•]\\s*', '')), lambda x: x <> '') as ls from a)
 select path, nullif(substr(array_to_string(ls, ', '), 1, 300), '') as tags from t"""
+
+_BLANKS = "[\\s\\x0b\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+_SECTIONS = """
+with recursive lines as (
+  select doc_id, '/kb/' || doc_id || '.md' as path, unnest(ls) as line, generate_subscripts(ls, 1) as n
+  from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null)),
+marked as (select *, regexp_matches(line, '^#{1,6}BLANKS+[^\\r\\x{2028}\\x{2029}]+$') as head,
+  regexp_matches(line, '^[\\s\\x0b\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]*$') as blank,
+  regexp_matches(line, '^\\s*(```|~~~)') as fence from lines),
+placed as (select *, sum(head::int) over (partition by doc_id order by n) as sec from marked),
+first as (select doc_id, sec, min(n) as a, max(n) as b from placed group by doc_id, sec)""".replace("BLANKS", _BLANKS)
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^" + _BLANKS + "+|" + _BLANKS + "+$', '', 'g')"
+
+
+SQL["chunk_parents"] = _SECTIONS + f"""
+select left(sha256(path), 12) || '-p-' || min(n) as id, path as file_path, string_agg(line, chr(10) order by n) as content,
+  min(n)::int as line_start, max(n)::int as line_end,
+  case when sec > 0 then {_trim("regexp_replace(arg_min(line, n), '^#{1,6}" + _BLANKS + "+', '')")} end as heading,
+  left(sha256(string_agg(line, chr(10) order by n)), 12) as hash, '2026-01-01T00:00:00Z' as indexed_at,
+  cast(ceil(length(string_agg(line, chr(10) order by n)) / 4) as int) as tokens
+from placed group by doc_id, path, sec"""
+SQL["chunk_markdown"] = _SECTIONS + f""",
+runs(doc_id, sec, n, run, inside, fenced, member) as (
+  select p.doc_id, p.sec, p.n, (not blank)::int, not blank, not blank and fence, not blank from placed p join first f on p.doc_id = f.doc_id and p.n = f.a
+  union all
+  select p.doc_id, p.sec, p.n,
+    case when r.fenced then r.run when p.blank then r.run when r.inside then r.run else r.run + 1 end,
+    case when r.fenced then not p.fence when p.blank then false else true end,
+    case when r.fenced then not p.fence when p.blank then false when r.inside then false else p.fence end,
+    r.fenced or not p.blank
+  from runs r join placed p on p.doc_id = r.doc_id and p.sec = r.sec and p.n = r.n + 1),
+members as (select r.*, p.path, p.line, p.fence, row_number() over (partition by r.doc_id, r.sec, r.run order by r.n) - 1 as k
+  from runs r join placed p on p.doc_id = r.doc_id and p.n = r.n where member),
+opened as (select *, first_value(fence) over (partition by doc_id, sec, run order by n) as code from members),
+blocks as (select doc_id, sec, path, min(n) as a, max(n) as b, string_agg(line, chr(10) order by n) as content
+  from opened group by doc_id, sec, path, run, case when code then 0 else k // 50 end),
+kept as (select *, length({_trim("content")}) as size, row_number() over (partition by doc_id, sec order by a) as place,
+  max(length({_trim("content")})) over (partition by doc_id, sec) as most
+  from blocks where not regexp_matches({_trim("content")}, '^#{{1,6}}{_BLANKS}+[^\\n\\r\\x{{2028}}\\x{{2029}}]+$'))
+select left(sha256(path), 12) || '-' || k.a as id, path as file_path, content as chunk_content, k.a::int as line_start, k.b::int as line_end,
+  left(sha256(content), 12) as chunk_hash, '2026-01-01T00:00:00Z' as indexed_at, cast(ceil(length(content) / 4) as int) as tokens,
+  left(sha256(path), 12) || '-p-' || f.a as parent_id
+from kept k join first f on k.doc_id = f.doc_id and k.sec = f.sec where size >= 10 or (most < 10 and place = 1)"""
+SQL["chunk_flat"] = f"""
+with recursive texts as (select '/kb/' || doc_id || '.txt' as path, string_split(text, chr(10)) as ls from documents where text is not null),
+cuts(path, a, b) as (
+  select path, 0, 0 from texts
+  union all
+  select t.path, c.b, coalesce(list_max(list_filter(range(greatest(c.b + 10, least(c.b + 50, len(ls)) - 15) + 1, least(c.b + 50, len(ls))),
+    lambda j: {_trim("ls[j + 1]")} = '')) + 1, least(c.b + 50, len(ls)))
+  from cuts c join texts t on c.path = t.path where c.b < len(ls)),
+windows as (select cuts.path, a, b, array_to_string(ls[a + 1:b], chr(10)) as content from cuts join texts on cuts.path = texts.path where b > 0)
+select left(sha256(path), 12) || '-' || (a + 1) as id, (a + 1)::int as line_start, b::int as line_end, left(sha256(content), 12) as chunk_hash,
+  cast(ceil(length(content) / 4) as int) as tokens from windows where length({_trim("content")}) > 20"""

@@ -96,3 +96,9 @@ def _last(path: str, patterns: list[str]) -> bool:
         if re.search(regex, path):
             decision = excludes
     return decision
+
+
+def excluded_below(path: str, roots: list[str], patterns: list[str]) -> bool:
+    """Whether a path is excluded seen from any of the roots that it lies below."""
+    inside = (path.removeprefix(r.rstrip("/") + "/") for r in roots if path.startswith(r.rstrip("/") + "/"))
+    return any(excluded(p, patterns) for p in inside)

@@ -51,6 +51,10 @@ def test_ignore(spark, path, patterns, want):
     assert spark.range(1).select(ignore.compile_patterns(patterns)(F.lit(path)).alias("x")).first().x is want
 
 
+def test_exclusion_below_any_root():
+    assert ignore.excluded_below("/a/b/x.md", ["/z", "/a"], ["b/"]) and not ignore.excluded_below("/a/b/x.md", ["/z"], ["*.md"])
+
+
 def test_extensions_and_config(tmp_path):
     assert files.resolve_extensions(["TXT ", " "], [".markdown"]) == {".md", ".txt"}
     at = tmp_path / "c" / "config.json"
