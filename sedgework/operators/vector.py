@@ -11,34 +11,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_VALUES = 8 << 20
+BLOCK_VALUES, PRODUCT_VALUES = 8 << 20, 4 << 20
 
 
 def vector_limit(limit: int) -> int:
     return max(limit * 10, 100)
 
 
+def _matrix(ids: pa.Array, vectors: pa.ListArray, width: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and rows of the vectors of the right width, without a Python object for each value."""
+    fits = pc.equal(pc.list_value_length(vectors), width)
+    ids, vectors = ids.filter(fits), vectors.filter(fits)
+    return ids, vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), width)
+
+
 def _nearest(ids: list, matrix: np.ndarray, limit: int):
     squares = (matrix * matrix).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == matrix.shape[1]]
-            if not rows:
+            own_ids, own = _matrix(batch.column(0), batch.column(1), matrix.shape[1])
+            if not len(own):
                 continue
-            own = np.array([v for _, v in rows], np.float64)
-            rough = squares[:, None] + (own * own).sum(axis=1)[None, :] - 2 * matrix @ own.T
-            keep = min(limit, len(rows))
-            kth = np.partition(rough, keep - 1, axis=1)[:, keep - 1 : keep]
-            near_q, near_v = np.nonzero(rough <= kth + 1e-9 * (1 + np.abs(kth)))  # ties stay in
-            exact = np.sqrt(((matrix[near_q] - own[near_v]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[q] for q in near_q], pa.int64()), pa.array([rows[v][0] for v in near_v], batch.schema.field(0).type), pa.array(exact)],
-                ["query_id", "id", "distance"],
-            )
+            own_squares, keep = (own * own).sum(axis=1), min(limit, len(own))
+            step = max(1, PRODUCT_VALUES // len(own))
+            for i in range(0, len(ids), step):
+                part = matrix[i : i + step]
+                rough = squares[i : i + step, None] + own_squares[None, :] - 2 * part @ own.T
+                kth = np.partition(rough, keep - 1, axis=1)[:, keep - 1 : keep]
+                q, v = np.nonzero(rough <= kth + 1e-9 * (1 + np.abs(kth)))  # ties stay in
+                exact = np.sqrt(((part[q] - own[v]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[i + k] for k in q], pa.int64()), own_ids.take(pa.array(v)), pa.array(exact)],
+                    ["query_id", "id", "distance"],
+                )
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sedgework-checkpoints-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="sedgework-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
