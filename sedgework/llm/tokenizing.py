@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -28,8 +28,8 @@ FIRST_WINDOW = 64
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable[[str], list[int]]:
-    """Encoding function of a ``.tiktoken`` vocabulary; made once in each worker."""
+def encoding(name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
+    """A ``.tiktoken`` vocabulary; made once in each worker."""
     import tiktoken
 
     spec = importlib.util.spec_from_file_location("public_tokenizers", Path(folder) / "__init__.py")
@@ -37,7 +37,11 @@ def encoder(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable[[s
     spec.loader.exec_module(public)
     lines = (Path(folder) / f"{name}.tiktoken").read_bytes().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
-    return tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoder(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable[[str], list[int]]:
+    return encoding(name, folder).encode_ordinary
 
 
 def _seam(text: str, i: int) -> bool:
@@ -98,3 +102,29 @@ def token_sizes(df: DataFrame, keep: list[str], text: str, name: str = "byte_bpe
 
     rows = df.select(*keep, F.col(text).alias("_text"))
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokens int")
+
+
+def decode(ids: Sequence[int], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF_CHARS) -> str:
+    """Text of ids: the bytes of halves are concatenated, then read once, as a character may span tokens."""
+    table = encoding(name, folder)
+
+    def part(a: int, b: int) -> bytes:
+        if b - a <= leaf:
+            return table.decode_bytes(list(ids[a:b]))
+        cut = (a + b) // 2
+        return part(a, cut) + part(cut, b)
+
+    return part(0, len(ids)).decode("utf-8", "replace")
+
+
+def token_texts(df: DataFrame, key: str, ids: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``key, text`` of rows of ids; null and empty lists have the empty text."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [decode(x, name, folder) if x else "" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    return rows.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)

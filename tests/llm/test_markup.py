@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from conftest import dicts
 from sedgework.llm.markup import clean, clean_fields, main_subtree, parse_html
@@ -72,3 +74,14 @@ def test_fields(spark):
     assert got["b", "content"][0] == ["markdown"] and ("b", "heading") not in got and ("c", "content") not in got
     assert got["c", "heading"] == (["html"], "h") and got["d", "content"] == ([], "") and got[None, "content"] == ([], "")
     assert clean_fields(df).count() == 10 and clean_fields(df.limit(0)).count() == 0
+
+
+RESIDUE = "<p> </p> <ul><li> <a href=x> </a> &amp; ** ` [[ ]] {{ }} {| |- |} \\emph{ } $ \\[ \\] ``` ~~~ ''' == |a|b| |---|---| <body> <!-- word".split() + ["\n", " "]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(RESIDUE)))
+def test_any_residue_is_cleaned(parts):
+    text, kinds = clean("".join(parts))
+    assert isinstance(text, str) and set(kinds) <= {"html", "markdown", "wiki", "latex"}
+    assert text.count("word") <= "".join(parts).count("word")

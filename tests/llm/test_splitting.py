@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from conftest import dicts
 from sedgework.llm.splitting import split_oversized, split_text
@@ -44,3 +46,12 @@ def test_rows(spark):
     assert {r["id"] for r in got} == {"a", "e"} and len(got) == 4
     assert all(r["pieces"] == 2 and len(r["content"]) <= 4000 for r in got)
     assert split_oversized(df.limit(0), "id", "content", 10, 2).count() == 0
+
+
+PARTS = ["# H\n", "word ", "a. ", "。", "\n\n", "- i\n", "```\n", "~~~\n", "x", "\n", "| a |\n", " "]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), min_size=1), st.integers(2, 40), st.data())
+def test_any_text_is_covered(parts, limit, data):
+    check("".join(parts), limit, data.draw(st.integers(0, limit - 1)))

@@ -2,6 +2,8 @@ import os
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from conftest import dicts
 from sedgework.llm import tokenizing as T
@@ -42,3 +44,17 @@ def test_rows(spark):
     sizes = {r["doc_id"]: r["tokens"] for r in dicts(T.token_sizes(df.withColumnRenamed("ids", "tokens"), ["doc_id"], "text"))}
     assert sizes[1] == 2 and sizes[2] == sizes[3] == 0 and sizes[4] > 50_000
     assert T.token_ids(df.limit(0), "doc_id", "text").count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=120), st.integers(1, 9))
+def test_any_text_goes_there_and_back(text, leaf):
+    plain = T.encoder()
+    ids = T.encode(text, plain, leaf)
+    assert ids == plain(text) and T.decode(ids, leaf=leaf) == text
+
+
+def test_round_trip_of_a_table(spark):
+    df = spark.createDataFrame([(1, "It's 倉庫\n​ odd"), (2, ""), (3, None)], "doc_id long, text string")
+    back = {r["doc_id"]: r["text"] for r in dicts(T.token_texts(T.token_ids(df, "doc_id", "text"), "doc_id"))}
+    assert back == {1: "It's 倉庫\n​ odd", 2: "", 3: ""}
