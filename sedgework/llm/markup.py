@@ -227,6 +227,9 @@ _LATEX_ANY = re.compile(
 )
 
 
+_KEPT = re.compile(r"\x00(\d{1,9})\x00")
+
+
 def from_latex(text: str) -> tuple[str, bool]:
     """Sections and items keep their structure, formulas stay as ``$...$``, other commands give their argument."""
     if "\\" not in text and "$" not in text:
@@ -234,6 +237,7 @@ def from_latex(text: str) -> tuple[str, bool]:
     if not (_LATEX_ANY.search(text) or _LATEX_INLINE.search(text)):
         return text, False
     formulas: list[str] = []
+    text = text.replace("\x00", "")
 
     def keep(m: re.Match) -> str:
         formulas.append(m[0])
@@ -250,8 +254,10 @@ def from_latex(text: str) -> tuple[str, bool]:
         if not n:
             break
     text = _LATEX_SPACE.sub(" ", text)
-    for i, f in enumerate(formulas):
-        text = text.replace(f"\x00{i}\x00", f)
+    for _ in range(3):  # a formula may hold another one
+        text, n = _KEPT.subn(lambda m: formulas[int(m[1])] if int(m[1]) < len(formulas) else "", text)
+        if not n:
+            break
     return text, True
 
 

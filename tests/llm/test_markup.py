@@ -31,6 +31,7 @@ from sedgework.llm.markup import clean, clean_fields, main_subtree, parse_html
         ("\\section{Head}\n\\begin{itemize}\n\\item one\n\\end{itemize}\n\\emph{e}\\cite{r}", ["latex"], "# Head\n- one\ne"),
         ("so $x_{1} = \\frac{1}{2}$ holds", ["latex"], "so $x_{1} = \\frac{1}{2}$ holds"),
         ("\\[ p = \\sum q_i \\]", ["latex"], "\\[ p = \\sum q_i \\]"),
+        ("$$ a_1 + $b_{2}$ $$ and \\emph{x}", ["latex"], "$$ a_1 + $b_{2}$ $$ and x"),
         ("(see~\\ref{t:1}, 5\\,mm)", ["latex"], "(see, 5 mm)"),
         ("<i>a</i> **b** [[c]] \\emph{d}", ["html", "markdown", "wiki", "latex"], "a b c d"),
         ("a\r\n**b**\r\n", ["markdown"], "a\nb"),
@@ -59,6 +60,11 @@ def test_deep_and_broken_pages():
     assert clean("`" * 5000 + "*" * 5000 + "[" * 5000)[0] is not None
 
 
+def test_many_formulas_take_no_quadratic_time():
+    text = "so $x_{1}$ is \\emph{e} and " * 20_000
+    assert clean(text)[0].count("$x_{1}$") == 20_000
+
+
 def test_fields(spark):
     rows = [
         ("a", "# **H**\nplain", "**H**", "x"),
