@@ -91,6 +91,17 @@ class IndexStore:
     def clear(self) -> None:
         self.commit(**{n: self.spark.createDataFrame([], s) for n, s in TABLES.items()})
 
+    def vacuum(self) -> int:
+        """Delete versions that the pointer no longer names; how many. Not to be called while older versions are read."""
+        current, gone = set(self._snapshot().values()), 0
+        for name in TABLES:
+            at = self._path(f"{self.root}/{name}")
+            for status in self._fs.listStatus(at) if self._fs.exists(at) else []:
+                version = status.getPath()
+                if f"{name}/{version.getName()}" not in current:
+                    gone += bool(self._fs.delete(version, True))
+        return gone
+
     def migrate(self, dimensions: int) -> bool:
         """Vectors of another width are dropped and their files marked for embedding; True if that was so."""
         other = self.table("vectors").where(F.size("embedding") != dimensions).limit(1)

@@ -118,6 +118,7 @@ def test_indexing_run(spark, tmp_path):
     indexing.rebuild(store, listing(), length_embedder, "2026-01-04T00:00:00Z")
     stats = dicts(indexing.stats(store))[0]
     assert (stats["total_files"], stats["total_chunks"], stats["embedded_count"], stats["vector_coverage_pct"], stats["last_build"]) == (2, 1, 1, 100, "2026-01-04T00:00:00Z")
+    assert store.vacuum() > 0 and store.table("chunks").count() == 1 and store.vacuum() == 0
     assert store.migrate(3) and store.table("vectors").count() == 0 and not store.migrate(3)
     store.clear()
     assert store.table("files").count() == 0
