@@ -46,22 +46,29 @@ def stored_paths(listing: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(known, "real", "left").withColumn("path", F.coalesce("_stored", "path")).drop("_stored")
 
 
-def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None, now: str, force: bool = False, read_pdf=None, ocr=None) -> Summary:
+def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None, now: str, force: bool = False, read_pdf=None, ocr=None, progress=None) -> Summary:
     """One run over ``listing(path, real, size)``.
 
     Everything is read and embedded before the index changes, in one commit. A
     failure leaves the index as it was. Files without a chunk are indexed all the
-    same, so that they are skipped the next time.
+    same, so that they are skipped the next time. ``progress(stage, rows)`` is called
+    after each of the stages read, chunk, embed and commit.
     """
+    told = progress or (lambda stage, rows: None)
     began = time.monotonic()
     listing = stored_paths(listing, store.table("files"))
     read = checkpointed(read_files(listing, read_pdf, ocr))
+    seen = read.count()
+    told("read", seen)
     todo = checkpointed(changed(read, store.table("files"), force))
     chunked = chunking.chunk_files(todo.select("path", "text"))
     parents, chunks = checkpointed(chunking.parent_rows(chunked, now)), checkpointed(chunking.child_rows(chunked, now))
+    made = chunks.count()
+    told("chunk", made)
     vectors = None
     if embedder is not None:
         vectors = checkpointed(embed_rows(chunks.select("id", "file_path", "chunk_content"), "chunk_content", embedder)).select("id", "file_path", "embedding")
+        told("embed", made)
     counts = chunks.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("chunks"))
     files = todo.join(counts, "path", "left").select(
         "path", "hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.lit(now).alias("indexed"), "size", F.lit(True).alias("embedded")
@@ -71,7 +78,8 @@ def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None
     if done:
         store.replace_files(files, parents, chunks, vectors)
         store.set_value("last_build", now)
-    return Summary(done, chunks.count(), read.count() - done, round((time.monotonic() - began) * 1000))
+    told("commit", done)
+    return Summary(done, made, seen - done, round((time.monotonic() - began) * 1000))
 
 
 def still_there(files: DataFrame) -> DataFrame:

@@ -99,7 +99,9 @@ def test_indexing_run(spark, tmp_path):
     write(kb, a_DOT_md="# A\n\nfirst text of a", b_DOT_md="# B\n\nfirst text of b", c_DOT_md="")
     store = IndexStore(spark, str(tmp_path / "index"))
     listing = lambda: files.collect_files(spark, [str(kb)])
-    assert indexing.index_files(store, listing(), length_embedder, "2026-01-01T00:00:00Z") == indexing.Summary(3, 2, 0)
+    told = []
+    run = indexing.index_files(store, listing(), length_embedder, "2026-01-01T00:00:00Z", progress=lambda *x: told.append(x))
+    assert run == indexing.Summary(3, 2, 0) and told == [("read", 3), ("chunk", 2), ("embed", 2), ("commit", 3)]
     assert indexing.index_files(store, listing(), length_embedder, "2026-01-02T00:00:00Z") == indexing.Summary(0, 0, 3)
     store.set_metadata(spark.createDataFrame([(str(kb / "a.md"), "tag"), ("/unknown", "x")], "path string, metadata string"))
     write(kb, a_DOT_md="# A\n\nchanged text of a")
