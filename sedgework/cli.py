@@ -1,10 +1,16 @@
-"""Command line: index, search, status, coverage, mdsync, meta, clear, config."""
+"""Command line: index, search, status, coverage, mdsync, meta, clear, config.
+
+Runs embed through the server that ``SEDGEWORK_EMBED_URL`` names, with
+``SEDGEWORK_EMBED_MODEL`` and ``SEDGEWORK_EMBED_DIMENSIONS``; without it they index
+for BM25 only, and the first run with it embeds what is missing.
+"""
 
 from __future__ import annotations
 
 import argparse
 import datetime
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,6 +45,13 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _embedder():
+    from sedgework.operators.embedding import http_embedder
+
+    url, get = os.environ.get("SEDGEWORK_EMBED_URL"), os.environ.get
+    return http_embedder(url, get("SEDGEWORK_EMBED_MODEL", "qwen3-embedding-4b"), int(get("SEDGEWORK_EMBED_DIMENSIONS", "1024"))) if url else None
+
+
 def main(argv: list[str] | None = None) -> int:
     from sedgework.operators import completion, fusion, indexing
     from sedgework.operators.store import IndexStore
@@ -68,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
                 config.tracked_paths.append(path)
         config.save(home / "config.json")
         run = indexing.rebuild if args.command == "rebuild" else indexing.index_files
-        return show(vars(run(store, listing(), None, now, force=getattr(args, "force", False))))
+        return show(vars(run(store, listing(), _embedder(), now, force=getattr(args, "force", False))))
     if args.command == "search":
         docs = store.table("chunks").join(store.table("files").select("path", "metadata"), F.col("file_path") == F.col("path"), "left")
         docs = docs.select("id", F.col("chunk_content").alias("content"), F.col("file_path").alias("path"), "metadata", "parent_id")

@@ -27,12 +27,12 @@ class Summary:
     duration_ms: int = field(default=0, compare=False)
 
 
-def changed(read: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
-    """Rows to index: all if forced, else those whose hash differs or that are not embedded. Unreadable files are skipped."""
+def changed(read: DataFrame, files: DataFrame, force: bool = False, embed: bool = True) -> DataFrame:
+    """Rows to index: all if forced, else those whose hash differs or, in a run that embeds, that are not embedded. Unreadable files are skipped."""
     read = read.where("hash is not null")
     if force:
         return read
-    done = files.where("embedded").select("path", F.col("hash").alias("_h"))
+    done = (files.where("embedded") if embed else files).select("path", F.col("hash").alias("_h"))
     return read.join(done, (read.path == done.path) & (read.hash == done["_h"]), "left_anti")
 
 
@@ -53,6 +53,9 @@ def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None
     failure leaves the index as it was. Files without a chunk are indexed all the
     same, so that they are skipped the next time. ``progress(stage, rows)`` is called
     after each of the stages read, chunk, embed and commit.
+
+    A file counts as embedded only if each of its chunks has a vector. Without an
+    embedder none does: the next run that has one takes these files again.
     """
     told = progress or (lambda stage, rows: None)
     began = time.monotonic()
@@ -60,19 +63,22 @@ def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None
     read = checkpointed(read_files(listing, read_pdf, ocr))
     seen = read.count()
     told("read", seen)
-    todo = checkpointed(changed(read, store.table("files"), force))
+    todo = checkpointed(changed(read, store.table("files"), force, embedder is not None))
     chunked = chunking.chunk_files(todo.select("path", "text"))
     parents, chunks = checkpointed(chunking.parent_rows(chunked, now)), checkpointed(chunking.child_rows(chunked, now))
     made = chunks.count()
     told("chunk", made)
     vectors = None
     if embedder is not None:
-        vectors = checkpointed(embed_rows(chunks.select("id", "file_path", "chunk_content"), "chunk_content", embedder)).select("id", "file_path", "embedding")
+        vectors = checkpointed(embed_rows(chunks.select("id", "file_path", "chunk_content"), "chunk_content", embedder)).where("size(embedding) > 0").select("id", "file_path", "embedding")
         told("embed", made)
     counts = chunks.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("chunks"))
-    files = todo.join(counts, "path", "left").select(
-        "path", "hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.lit(now).alias("indexed"), "size", F.lit(True).alias("embedded")
-    )
+    rows = todo.join(counts, "path", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    embedded = F.lit(False)
+    if vectors is not None:
+        rows = rows.join(vectors.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("_vectors")), "path", "left")
+        embedded = F.coalesce("_vectors", F.lit(0)) == F.col("chunks")
+    files = rows.select("path", "hash", "chunks", F.lit(now).alias("indexed"), "size", embedded.alias("embedded"))
     files = checkpointed(files)
     done = files.count()
     if done:
@@ -94,7 +100,7 @@ def still_there(files: DataFrame) -> DataFrame:
 
 
 def rebuild(store: IndexStore, listing: DataFrame, embedder: Embedder | None, now: str, force: bool = False) -> Summary:
-    """Files that neither are listed nor exist go; the others are embedded again, or read as new if forced."""
+    """Files that neither are listed nor exist go; the others are embedded again if there is an embedder, or read as new if forced."""
     listing = checkpointed(listing.unionByName(still_there(store.table("files"))).dropDuplicates(["path"]))
     if force:
         store.clear()

@@ -126,6 +126,47 @@ def test_indexing_run(spark, tmp_path):
     assert store.table("files").count() == 0
 
 
+def test_runs_without_an_embedder_leave_files_to_embed(spark, tmp_path):
+    kb = tmp_path / "kb"
+    write(kb, a_DOT_md="# A\n\ntext of a", b_DOT_md="# B\n\ntext of b")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    listing = lambda: files.collect_files(spark, [str(kb)])
+    assert indexing.index_files(store, listing(), None, "2026-01-01T00:00:00Z") == indexing.Summary(2, 2, 0)
+    assert store.table("files").where("embedded").count() == 0
+    assert indexing.index_files(store, listing(), None, "2026-01-02T00:00:00Z") == indexing.Summary(0, 0, 2), "unchanged"
+    short = lambda texts: [[] if "of b" in t else [1.0] for t in texts]
+    assert indexing.index_files(store, listing(), short, "2026-01-03T00:00:00Z").indexed == 2
+    assert names(store.table("files").where("embedded")) == ["a.md"] and store.table("vectors").count() == 1, "b.md got no vector"
+    assert indexing.index_files(store, listing(), length_embedder, "2026-01-04T00:00:00Z") == indexing.Summary(1, 1, 1)
+    assert store.table("files").where("embedded").count() == store.table("vectors").count() == 2
+    indexing.rebuild(store, listing(), None, "2026-01-05T00:00:00Z")
+    indexing.index_files(store, listing(), length_embedder, "2026-01-06T00:00:00Z")
+    assert store.table("vectors").count() == 2
+
+
+def test_command_line_embeds_through_a_server(spark, tmp_path, capsys, monkeypatch):
+    from sedgework.cli import main
+
+    class Whole(Server):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            data = json.dumps({"data": [{"embedding": [3.0, 4.0, 9.0]} for _ in body["input"]]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+    write(tmp_path / "kb", a_DOT_md="# A\n\nthe alpha text")
+    at = ["--store", str(tmp_path / "s"), "--json"]
+    out = lambda *a: (main([*at, *a]), json.loads(capsys.readouterr().out))[1]
+    assert out("index", str(tmp_path / "kb"))["indexed"] == 1 and out("status")[0]["embedded_count"] == 0
+    server = http.server.HTTPServer(("127.0.0.1", 0), Whole)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("SEDGEWORK_EMBED_URL", f"http://127.0.0.1:{server.server_port}")
+    monkeypatch.setenv("SEDGEWORK_EMBED_DIMENSIONS", "2")
+    assert out("refresh")["indexed"] == 1 and out("status")[0]["vector_coverage_pct"] == 100
+    server.shutdown()
+
+
 def test_legacy_import(spark, tmp_path):
     old = {"chunks": [{"id": "1", "filePath": "/a", "content": "c", "lineStart": 1, "lineEnd": 2, "hash": "h", "indexed": "i", "tokens": 3, "vector": [1.0]}],
            "files": {"/a": {"hash": "h", "chunks": 1, "indexed": "i", "size": 4, "embedded": True}}}
