@@ -45,6 +45,10 @@ def normalised(text: str) -> str:
     return " ".join(text.split()).lower()
 
 
+def class_of(kind: str, normal: str) -> int:
+    return xxhash.xxh3_64_intdigest(kind + "\n" + normal)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per record of enough characters; symbols only with the first record of a class in the task."""
     seen: set[int] = set()
@@ -59,7 +63,7 @@ def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[
     for kind, id_, text in zip(kinds, ids, texts):
         if text is None or len(text) < LEAST_CHARS or len(t := normalised(text)) < LEAST_CHARS:
             continue
-        h = xxhash.xxh3_64_intdigest(kind + "\n" + t)
+        h = class_of(kind, t)
         first = h not in seen
         if first:
             seen.add(h)
@@ -190,11 +194,20 @@ def _similarities(left: list[str], right: list[str]) -> list[float]:
     return out
 
 
+def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows ``class, kind, text`` whose text is of that class, without the kind."""
+    for batch in batches:
+        classes, kinds, texts = (batch.column(i) for i in range(3))
+        own = np.array([class_of(k, normalised(t)) for k, t in zip(kinds.to_pylist(), texts.to_pylist())], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([classes, texts], ["class", "text"]).filter(pa.array(own == classes.to_numpy()))
+
+
 def class_links(records: DataFrame, prints: DataFrame) -> DataFrame:
     """``a, b, similarity`` (a < b): pairs of different texts at or over the threshold.
 
     One record stands for each class. Its text is fetched through a bitmap of fixed
-    size, so of the texts only those of candidates, and a few more, are shuffled.
+    size, so of the texts only those of candidates, and a few more, are shuffled. If
+    its id stands with other texts too, those are not of the class and are dropped.
     """
     pairs = checkpointed(candidates(prints))
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
@@ -202,7 +215,8 @@ def class_links(records: DataFrame, prints: DataFrame) -> DataFrame:
     stands = checkpointed(stands.select("class", "r.kind", "r.id"))
     bitmap = bit_filter(stands, "id")
     texts = records.where((F.char_length("text") >= LEAST_CHARS) & F.col("id").isNotNull()).select("kind", "id", "text")
-    texts = where_may_contain(texts, "id", bitmap).join(stands, ["kind", "id"]).groupBy("class").agg(F.min("text").alias("text"))
+    texts = where_may_contain(texts, "id", bitmap).join(stands, ["kind", "id"]).select("class", "kind", "text")
+    texts = texts.mapInArrow(_of_class, "class long, text string").groupBy("class").agg(F.min("text").alias("text"))
     sides = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a")
     sides = sides.join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
     verified = sides.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double")

@@ -49,6 +49,14 @@ def test_agrees_with_all_pairs(spark):
     assert len(got) >= 0.99 * len(want)
 
 
+def test_an_id_with_several_texts_has_the_pairs_of_each(spark):
+    rng = random.Random(3)
+    one, two = (" ".join(rng.choices(WORDS, k=90)) for _ in range(2))
+    rows = [("parent", "a", one), ("parent", "a", two), ("parent", "b", edited(rng, one, 3)), ("parent", "c", edited(rng, two, 3))]
+    want = brute(rows)
+    assert want == {("parent", "a", "b"), ("parent", "a", "c")} and pairs(spark, rows) == want
+
+
 def test_recall_close_to_the_threshold(spark):
     """Pairs between 0.6 and 0.7, which edits rarely give."""
     rng = random.Random(9)
