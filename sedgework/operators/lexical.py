@@ -142,10 +142,10 @@ def bm25(
 
         found = checkpointed(found)
         counts = dict(found.where("query_id is null").groupBy("term").agg(F.sum("n")).collect())  # one per term of the batch
-        weights = spark.createDataFrame(
+        idf = spark.createDataFrame(
             [(q, [_idf(total, counts.get(t, 0)) for t in ts]) for q, ts in chosen], "query_id long, idf array<double>"
         )
-        hits = found.where("query_id is not null").join(weights, "query_id")
+        hits = found.where("query_id is not null").join(idf, "query_id")
         scored = hits.select("query_id", "id", _score(mean).alias("score"))
         out = scored if out is None else out.unionByName(scored)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))

@@ -46,6 +46,15 @@ def test_bm25_agrees_with_full_text_search(spark):
             assert got[q][i] == pytest.approx(s, abs=1e-9)
 
 
+def test_blocks_of_queries_give_the_rows_of_one(spark, monkeypatch):
+    d = docs(spark, ("alpha beta", "/a.md", "gamma"), ("alpha alpha gamma", "/b.md", None), ("nothing", "/gamma.md", "beta"))
+    asked = [(0, "alpha"), (1, "gamma"), (2, "beta alpha"), (3, "gamma")]
+    rows = lambda: sorted(map(tuple, lexical.bm25(d, asked, 9).collect()))
+    whole = rows()
+    monkeypatch.setattr(lexical, "BLOCK_CHARS", 8)
+    assert len(list(lexical._blocks(asked))) > 1 and rows() == whole != []
+
+
 def test_terms_are_anded_substrings_over_columns(spark):
     d = docs(spark, ("the user logs", "/a.md", None), ("nothing", "/users.md", "logs"), ("user only", "/b.md", None))
     assert set(hits(spark, d, "user logs")) <= {"c0", "c1"}
