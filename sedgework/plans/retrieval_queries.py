@@ -76,8 +76,12 @@ def context_block(spark, sf_dir):
     return fusion.context(found.join(lines, "id").join(headings, "parent_id", "left"))
 
 
+#: What an HTML parser takes for markup: a tag, void and unclosed ones too, an end tag, a declaration or a comment.
+MARKUP = "<[a-zA-Z][^>]*>|</|<!"
+
+
 def html_to_markdown(spark, sf_dir):
-    pages = table(spark, sf_dir, "parents").where(F.contains("content", F.lit("</"))).select("id", "content").distinct()
+    pages = table(spark, sf_dir, "parents").where(F.col("content").rlike(MARKUP)).select("id", "content").distinct()
     convert = F.pandas_udf(lambda s: s.map(extract.html_to_markdown), "string")
     return pages.select("id", convert("content").alias("markdown"))
 

@@ -55,6 +55,15 @@ def test_blocks_of_queries_give_the_rows_of_one(spark, monkeypatch):
     assert len(list(lexical._blocks(asked))) > 1 and rows() == whole != []
 
 
+def test_sections_with_only_void_or_unclosed_tags_are_converted(spark, tmp_path):
+    from sedgework.plans import retrieval_queries
+
+    rows = [("a", "one<br>two"), ("b", '<img src="x.png" alt="y">'), ("c", "<ul><li>one<li>two"), ("d", "<b>z</b>"), ("e", "1 < 2 and 3 > 2")]
+    spark.createDataFrame(rows, "id string, content string").write.parquet(str(tmp_path / "parents.parquet"))
+    got = {r["id"]: r["markdown"] for r in dicts(retrieval_queries.html_to_markdown(spark, str(tmp_path)))}
+    assert got.keys() == {"a", "b", "c", "d"} and "- one" in got["c"] and got["d"] == "**z**"
+
+
 def test_terms_are_anded_substrings_over_columns(spark):
     d = docs(spark, ("the user logs", "/a.md", None), ("nothing", "/users.md", "logs"), ("user only", "/b.md", None))
     assert set(hits(spark, d, "user logs")) <= {"c0", "c1"}
