@@ -2,10 +2,11 @@
 
 Sizes per source are one aggregation. The seats of a Sainte-Lague apportionment are
 equal-token blocks; a source stops winning seats at its capacity, which is its size
-times its permitted repeats. Each source's blocks are then apportioned to shards,
-and a seeded order inside (source, shard) decides which documents are used once
-more than the others. Shards are salts: a source that holds most rows is spread
-over all of them, so no window holds a source as a whole.
+times its permitted repeats. What a source's quota leaves beyond whole uses is then
+apportioned to its shards in tokens, and a seeded order inside (source, shard)
+decides which documents are used once more than the others. Shards are salts: a
+source has as many as its own documents need, so no window holds a large source as
+a whole and a small one is not cut into pieces of single documents.
 """
 
 from __future__ import annotations
@@ -98,34 +99,49 @@ def quotas(sized: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFr
     )
 
 
+def _shard_parts(quota: dict[str, int], shards: dict[str, int], placed: DataFrame) -> list[tuple[str, int, int]]:
+    """``source, shard, part``: each source's quota in whole tokens by shard; the parts of a source sum to its quota.
+
+    By the same quotients as the sources, with the shards' tokens as weights and
+    limits. A source of one shard needs no sums.
+    """
+    out = [(s, 0, quota[s]) for s in quota if shards[s] == 1]
+    sums: dict[str, dict[int, int]] = {s: {} for s in quota if shards[s] > 1}
+    if sums:
+        own = placed.where("shards > 1").groupBy("source", "_shard").agg(F.sum("tokens").alias("n"))
+        for r in own.collect():  # a row per DOCUMENTS_PER_SHARD documents
+            sums[r["source"]][r["_shard"]] = r["n"]
+    for s, own in sums.items():
+        out += [(s, i, n) for i, n in apportion(own, quota[s], own).items()]
+    return out
+
+
 def mixture(sized: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int = 0) -> DataFrame:
     """``key, source, tokens, times``: how often each document is used, never more than ``max_repeats``.
 
     ``sized`` has ``key, source, tokens``; ``plan`` comes from :func:`quotas`. A
     document is used ``quota // size`` times, those that come first in the seeded
-    order of their (source, shard) once more until the shard's part is filled.
+    order of their (source, shard) once more until the shard's part, a whole number
+    of tokens, is filled; it is met up to half a document.
     Documents used no time, empty ones and sources without a target are left out.
     Repeated rows are documents of their own.
     """
-    rows = plan.collect()  # one row per target
-    shards = max(4, math.ceil(sum(r["documents"] for r in rows) / DOCUMENTS_PER_SHARD))
-    parts = [
-        (r["source"], min(r["quota"] // r["tokens"], r["max_repeats"]), r["max_repeats"], r["quota"] % r["tokens"] / r["tokens"])
-        for r in rows
-        if r["tokens"]
-    ]
-    plan = sized.sparkSession.createDataFrame(parts, "source string, base int, most int, rest double")
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    rows = [r for r in plan.collect() if r["tokens"]]  # one row per target
+    shards = {r["source"]: max(1, math.ceil(r["documents"] / DOCUMENTS_PER_SHARD)) for r in rows}
+    parts = [(r["source"], min(r["quota"] // r["tokens"], r["max_repeats"]), r["max_repeats"], shards[r["source"]]) for r in rows]
+    plan = sized.sparkSession.createDataFrame(parts, "source string, base int, most int, shards int")
     placed = (
         sized.where("tokens > 0")
         .join(F.broadcast(plan), "source")  # as many rows as mix_targets, a configuration
-        .withColumn("_at", order)
-        .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(shards)))
+        .withColumn("_at", F.xxhash64(F.lit(seed), F.col(key)))
+        .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.col("shards")).cast("int"))
     )
+    rest = _shard_parts({r["source"]: r["quota"] % r["tokens"] for r in rows}, shards, placed)
+    rest = sized.sparkSession.createDataFrame(rest, "source string, _shard int, rest long")
     group = Window.partitionBy("source", "_shard")
     before = F.sum("tokens").over(group.orderBy("_at", key).rowsBetween(Window.unboundedPreceding, -1))
-    share = F.col("rest") * F.sum("tokens").over(group)
-    once_more = ((F.coalesce(before, F.lit(0)) + F.col("tokens") / 2) <= share) & (F.col("base") < F.col("most"))
+    placed = placed.join(F.broadcast(rest), ["source", "_shard"])  # a row per DOCUMENTS_PER_SHARD documents
+    once_more = ((F.coalesce(before, F.lit(0)) + F.col("tokens") / 2) <= F.col("rest")) & (F.col("base") < F.col("most"))
     times = F.col("base") + F.when(once_more, 1).otherwise(0)
     return placed.withColumn("times", times.cast("int")).where("times > 0").select(key, "source", "tokens", "times")
 

@@ -50,6 +50,24 @@ def test_short_sources_give_what_they_have(spark):
     assert sum(r["tokens"] * r["times"] for r in rows) == pytest.approx(plan["a"]["total"], rel=0.05), "others fill the total"
 
 
+def test_small_sources_meet_their_quota_beside_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "DOCUMENTS_PER_SHARD", 100)
+    docs = [(i, "small" if i < 20 else "big", 100 + i % 7) for i in range(4000)]
+    sized = spark.createDataFrame(docs, SIZED)
+    for share in (0.002, 0.003, 0.004):
+        plan = M.quotas(sized, spark.createDataFrame([("big", 1 - share, 1), ("small", share, 1)], TARGETS), 4000)
+        quota = {r["source"]: r["quota"] for r in dicts(plan)}
+        used = {r["source"]: r["used_tokens"] for r in dicts(M.shares(M.mixture(sized, plan)))}
+        assert abs(used["small"] - quota["small"]) <= 54, "half a document"
+        assert abs(used["big"] - quota["big"]) <= 54 * 40, "half a document a shard"
+
+
+def test_parts_of_shards_are_whole_and_sum_to_the_quota(spark):
+    placed = spark.createDataFrame([("s", i % 7, 5, 10 + i) for i in range(70)], "source string, _shard int, shards int, tokens int")
+    parts = M._shard_parts({"s": 1001, "t": 3}, {"s": 7, "t": 1}, placed)
+    assert ("t", 0, 3) in parts and sum(n for s, _, n in parts if s == "s") == 1001 and len(parts) == 8
+
+
 def test_seeded_and_odd_input(spark):
     docs = [(1, "a", 0), (2, None, 5), (3, "a", 5), (3, "a", 5), (4, "other", 5)]
     plan, rows, _ = mixed(spark, docs, [("a", 1.0, 1), (None, 0.3, 1), ("a", 1.0, 1)])
