@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sedgework.operators import reports
 from sedgework.operators.indexing import Summary, index_files
@@ -57,25 +58,29 @@ def conversion_state(spark: SparkSession, root: str, patterns: list[str] | None
     return reports.conversion_state(hashed, texts)
 
 
-def coverage(spark: SparkSession, store: IndexStore, root: str, patterns: list[str] | None = None) -> dict:
-    """Totals, the missing and modified Markdown files, and a verdict. Lists hold paths relative to the root."""
+def coverage(spark: SparkSession, store: IndexStore, root: str, patterns: list[str] | None = None, now: str | None = None) -> dict:
+    """Totals, the missing and modified Markdown files, and a verdict. Lists hold paths relative to the root.
+
+    ``stale``: the last run is more than 24 hours before ``now``, the present time if not given.
+    """
     listing = read_files(collect_files(spark, [root], resolve_extensions(), patterns)).select("path", "real", "hash")
     states = reports.coverage(listing, store.table("files").select("path", "hash")).collect()
     docs = dict(conversion_state(spark, root, patterns).groupBy("state").count().collect())
     inside = lambda p: str(Path(p).relative_to(root)) if Path(p).is_relative_to(root) else p
     by = {s: sorted(inside(r.path) for r in states if r.state == s) for s in ("missing", "modified")}
     open_ = bool(by["missing"] or by["modified"])
-    verdict = (
-        "needs_convert" if docs.get("needs_convert") else "needs_checksum" if docs.get("checksum_missing") else "needs_index" if open_ else "complete"
-    )
-    return {"total": len(states), "indexed": len(states) - len(by["missing"]), **by, "documents": docs, "verdict": verdict}
+    at = F.lit(now) if now else F.current_timestamp()
+    flags = [F.lit(bool(x)) for x in (docs.get("needs_convert"), docs.get("checksum_missing"), open_)]
+    stale = reports.is_stale(F.lit(store.value("last_build")).cast("string"), at)
+    row = spark.range(1).select(stale.alias("stale"), reports.verdict(*flags, stale).alias("verdict")).first()
+    return {"total": len(states), "indexed": len(states) - len(by["missing"]), **by, "documents": docs, "stale": row["stale"], "verdict": row["verdict"]}
 
 
 def complete(
     spark: SparkSession, store: IndexStore, root: str, now: str, run: Runner, ocr: Runner | None = None, embedder=None
 ) -> tuple[list[Outcome], Summary, dict, dict]:
     """Outcomes, the indexing run, and coverage before and after."""
-    before = coverage(spark, store, root)
+    before = coverage(spark, store, root, now=now)
     outcomes = []
     for row in conversion_state(spark, root).collect():  # documents below one root, acted on one by one
         if row.state == "checksum_missing":
@@ -84,4 +89,4 @@ def complete(
         elif row.state == "needs_convert":
             outcomes.append(convert(row.path, row.target_md, run, ocr))
     summary = index_files(store, collect_files(spark, [root], resolve_extensions()), embedder, now)
-    return outcomes, summary, before, coverage(spark, store, root)
+    return outcomes, summary, before, coverage(spark, store, root, now=now)

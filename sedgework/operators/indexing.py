@@ -83,6 +83,7 @@ def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None
     done = files.count()
     if done:
         store.replace_files(files, parents, chunks, vectors)
+    if seen:  # a run that finds nothing changed makes the index fresh, too
         store.set_value("last_build", now)
     told("commit", done)
     return Summary(done, made, seen - done, round((time.monotonic() - began) * 1000))

@@ -198,6 +198,19 @@ def test_coverage_and_completion(spark, tmp_path):
     assert {os.path.basename(r["path"]): r["reason"] for r in dicts(completion.conversion_state(spark, str(kb)))}["doc.docx"] == "checksum_changed"
 
 
+def test_an_old_index_is_stale(spark, tmp_path):
+    write(tmp_path / "kb", a_DOT_md="# A\n\ntext of a")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    indexing.index_files(store, files.collect_files(spark, [str(tmp_path / "kb")]), length_embedder, "2026-01-01T00:00:00Z")
+    ask = lambda now: completion.coverage(spark, store, str(tmp_path / "kb"), now=now)
+    assert ask("2026-01-02T00:00:00Z")["verdict"] == "complete" and ask("2026-01-02T00:00:01Z")["verdict"] == "stale"
+    assert ask(None)["stale"] is True
+    indexing.index_files(store, files.collect_files(spark, [str(tmp_path / "kb")]), length_embedder, "2026-01-02T00:00:01Z")
+    assert ask("2026-01-02T00:00:01Z")["verdict"] == "complete", "a run without changes counts"
+    write(tmp_path / "kb", b_DOT_md="# B\n\ntext of b")
+    assert ask("2026-01-03T00:00:00Z")["verdict"] == "needs_index"
+
+
 def test_index_of_a_moved_tree_is_found(spark):
     listing = spark.createDataFrame([("/new/r/a.md", None, "h"), ("/new/r/s/b.md", None, "x"), ("/new/r/c.md", None, "h")], "path string, real string, hash string")
     index = spark.createDataFrame([("/old/a.md", "h"), ("/old/s/b.md", "h"), ("/old/z.md", None)], "path string, hash string")
