@@ -270,9 +270,9 @@ def corrections(words: DataFrame) -> DataFrame:
     rare = hashed.select(F.col("word").alias("bad"), F.col("n").alias("few"), "h", held.alias("ps")).where("size(ps) > 0")
     rare = rare.where(~F.col("bad").rlike(r"^[0-9a-f]*[0-9][0-9a-f]*$|^[^0-9]?[0-9]+$"))
     once = F.transform("ps", lambda p: p["d"])
-    twice = F.expr("flatten(transform(ps, p -> transform(ps, q -> p.d + q.d)))")
-    odd = F.col("bad").rlike(r"[0-9@!†$]|ii|vv|rn|cl|li")
-    moved = F.array_distinct(F.when(odd & (F.length("bad") > 4), F.concat(once, twice)).otherwise(once))
+    repeated = "char_length(bad) - char_length(replace(bad, p.x, '')) >= 2 * char_length(p.x)"  # the same part at two places
+    twice = F.expr(f"flatten(transform(ps, p -> transform(filter(ps, q -> q.x <> p.x or {repeated}), q -> p.d + q.d)))")
+    moved = F.array_distinct(F.concat(once, twice))
     rare = rare.select("bad", "few", "h", F.explode(moved).alias("d")).select("bad", "few", (F.col("h") + F.col("d")).alias("h"))
     frequent = hashed.where((F.col("n") >= LEAST_FREQUENT) & F.col("word").rlike(r"^\p{L}+$")).select(F.col("word").alias("good"), F.col("n").alias("many"), "h")
     met = rare.join(frequent, "h").where((F.col("many") >= RATIO * F.col("few")) & (F.col("bad") != F.col("good")))

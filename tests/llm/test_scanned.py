@@ -103,3 +103,9 @@ def test_nulls_empty_and_long(spark):
     rows = [("parent", "n", None, None, None, False), ("parent", None, "/a", 1, "x-\ny", False), ("parent", "e", None, None, "", None), ("parent", "l", None, 1, "word " * 60_000, None)]
     assert found(spark, rows) == set() and found(spark, []) == set()
     assert S.repaired(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_two_exchanges_of_any_confusable_places(spark):
+    words = [("rcccived", 1), ("received", 50), ("囘峙", 1), ("回時", 50), ("h0u5", 1), ("hous", 50), ("clerc", 1), ("clere", 2)]
+    got = S.corrections(spark.createDataFrame(words, "word string, n long"))
+    assert {r["bad"]: r["good"] for r in dicts(got)} == {"rcccived": "received", "囘峙": "回時", "h0u5": "hous"}
