@@ -151,8 +151,8 @@ def _alignment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ends_early(x: str, y: str) -> int:
     """-1 if ``x`` ends inside ``y``, 1 if ``y`` ends inside ``x``, else 0; only for verified near copies.
 
-    Verified: the five-word shingles of the shorter's length are shared to at least
-    the similarity. A text ends early if its last words, the final one perhaps cut
+    Verified: the Jaccard similarity of their five-word shingles is at least the
+    threshold, so a copy cut to under 80 % of the other's is not aligned. A text ends early if its last words, the final one perhaps cut
     short, stand in the other's text at about the same place and the other goes on.
     """
     wx, wy = fp.words(x), fp.words(y)
