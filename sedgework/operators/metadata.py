@@ -16,9 +16,13 @@ MOST_CHARS, CONTENT_CHARS = 300, 1500
 
 
 def load_seed(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """``path, metadata`` of a JSON map from path to tags; blank and non-text values are skipped, paths resolved against ``root``."""
+    """``path, metadata`` of a JSON map from path to tags; blank and non-text values are skipped, paths resolved against ``root``.
+
+    A file that is no JSON map gives no rows.
+    """
     text = spark.read.text(path, wholetext=True)
-    pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "tags"))
+    pairs = text.select(F.explode(F.from_json("value", "map<string,variant>")).alias("key", "v"))
+    pairs = pairs.where(F.schema_of_variant("v") == "STRING").select("key", F.try_variant_get("v", "$", "string").alias("tags"))
     absolute = F.when(F.startswith("key", F.lit("/")), F.col("key")).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("key", r"^\./", "")))
     return pairs.select(absolute.alias("path"), trimmed(F.col("tags")).alias("metadata")).where("metadata <> ''")
 

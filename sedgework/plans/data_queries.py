@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgework.operators.incremental import pending_paths
+from sedgework.operators.incremental import next_batch, pending_paths
 from sedgework.operators.multivalue import split_values
-from sedgework.session import table
+from sedgework.session import checkpoint_dir, table
 
 
-def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pending_paths(*(table(spark, sf_dir, t) for t in ("files", "scans", "index_runs")))
+def _states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("files", "scans", "index_runs")]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pending(spark, sf_dir).select("path")
+    return next_batch(*_states(spark, sf_dir), f"{checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}")
 
 
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pending(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("paths"))
+    return pending_paths(*_states(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("paths"))
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,7 +223,7 @@ def test_staleness_is_strictly_over_a_day(spark, last, stale):
 
 
 def test_metadata(spark, tmp_path):
-    (tmp_path / "seed.json").write_text(json.dumps({"a.md": " x, y ", "b.md": " ", "/abs.md": "z"}))
+    (tmp_path / "seed.json").write_text(json.dumps({"a.md": " x, y ", "b.md": " ", "/abs.md": "z", "n.md": 5, "l.md": ["t"], "t.md": True, "u.md": None, "m.md": {"a": "b"}}))
     seed = metadata.load_seed(spark, str(tmp_path / "seed.json"), "/kb")
     assert {r["path"]: r["metadata"] for r in dicts(seed)} == {"/kb/a.md": "x, y", "/abs.md": "z"}
     known, unknown = metadata.seed_matches(seed, spark.createDataFrame([("/kb/a.md",)], "path string"))
