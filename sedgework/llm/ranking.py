@@ -106,12 +106,11 @@ def leximin_vectors(
 def leximin_first(vectors: DataFrame, search: str = "search_id", item: str = "chunk_id") -> DataFrame:
     """``search, item``: the candidate that comes first; of equal ones the least item.
 
-    ``max`` of a struct combines before the shuffle, so a hot search costs no more
-    than one row per task.
+    One pass: the least struct of the negated percentiles and the item combines
+    before the shuffle, so a hot search costs no more than one row per task.
     """
-    best = vectors.groupBy(search).agg(F.max("percentiles").alias("percentiles"))
-    same = vectors.join(best, [search, "percentiles"], "left_semi")
-    return same.groupBy(search).agg(F.min(item).alias(item))
+    first = F.min(F.struct(F.transform("percentiles", lambda p: -p).alias("p"), F.col(item).alias("item")))
+    return vectors.groupBy(search).agg(first.alias("f")).select(search, F.col("f.item").alias(item))
 
 
 def leximin_ranking(vectors: DataFrame, search: str = "search_id", item: str = "chunk_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Encoding of a corpus with a public byte-level BPE.
 
-A text longer than a leaf is encoded as a tree: halves are encoded on their own and
-joined by re-encoding a window around the seam. The window grows on either side
+Every text is encoded as a tree of halves down to leaves of a few hundred characters,
+so the usual document has several. Halves are encoded on their own and joined by re-encoding a window around the seam. The window grows on either side
 until it reaches a place where a letter is followed by a character that is none.
 There the join is exact, not merely likely: no alternative of the tokenizer's
 pattern matches across such a place, matching is memoryless from there on, and
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
-LEAF_CHARS = 1 << 15
+LEAF_CHARS = 256
 FIRST_WINDOW = 64
 
 
@@ -104,7 +104,7 @@ def token_sizes(df: DataFrame, keep: list[str], text: str, name: str = "byte_bpe
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokens int")
 
 
-def decode(ids: Sequence[int], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = LEAF_CHARS) -> str:
+def decode(ids: Sequence[int], name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf: int = 1 << 12) -> str:
     """Text of ids: the bytes of halves are concatenated, then read once, as a character may span tokens."""
     table = encoding(name, folder)
 

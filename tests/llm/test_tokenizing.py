@@ -58,3 +58,25 @@ def test_round_trip_of_a_table(spark):
     df = spark.createDataFrame([(1, "It's 倉庫\n​ odd"), (2, ""), (3, None)], "doc_id long, text string")
     back = {r["doc_id"]: r["text"] for r in dicts(T.token_texts(T.token_ids(df, "doc_id", "text"), "doc_id"))}
     assert back == {1: "It's 倉庫\n​ odd", 2: "", 3: ""}
+
+
+def test_the_usual_document_is_a_tree(spark, monkeypatch):
+    """The rows come through joins of halves; were the tree left out, this would fail."""
+    data = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no tables here")
+    joins, plain, join = 0, T.encoder(), T._join
+
+    def counted(*a):
+        nonlocal joins
+        joins += 1
+        return join(*a)
+
+    monkeypatch.setattr(T, "_join", counted)
+    texts = [r[0] for r in spark.read.parquet(data).select("text").where("text <> ''").collect()]
+    through = 0
+    for text in texts:
+        before = joins
+        assert T.encode(text, plain) == plain(text)
+        through += joins > before
+    assert through > 0.8 * len(texts)
