@@ -1,13 +1,16 @@
 """Near-duplicate records with small edits, by multi-index hashing.
 
 Two records are near copies if they share at least ``THRESHOLD`` of their distinct
-5-character substrings. A record's fingerprint is a row of minima over hashed
-substrings, cut into segments of ``SEGMENT`` symbols. The Hamming ball of radius 1
-around a segment is enumerated by leaving out each symbol in turn; records that
-agree on one of these keys differ in at most one symbol of the segment and are
-fetched by a join on the key. The key's rows carry a 192-bit sketch, so the complete
-distance is tested inside that join and pairs that merely share phrases are never
-written. What remains is verified on the texts.
+5-character substrings. A record's fingerprint is a row of 48 symbols, each the least
+hash of its substrings in one bin; the distance of two fingerprints is the number of
+symbols in which they differ. The fingerprint is cut into segments of ``SEGMENT``
+symbols. The Hamming ball of radius 1 around a segment is enumerated by leaving out
+each symbol in turn; records that agree on one of these keys differ in at most one
+symbol of the segment and are fetched by a join on the key. By the pigeonhole
+principle no pair within ``2 * SEGMENTS - 1`` symbols can be missed. The key's rows
+carry the whole fingerprint at four bits a symbol, so that the complete distance is
+tested inside that join and pairs that merely share phrases are never written. What
+remains is verified on the texts.
 
 Copies are one class from the start: the normalised text's hash stands for all of
 them, so a group of copies costs one key row per task, not its square.
@@ -15,26 +18,29 @@ them, so a group of copies costs one key row per task, not its square.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgework.llm import fingerprints as fp
 from sedgework.session import checkpointed
 
 LEAST_CHARS, SHINGLE, THRESHOLD = 240, 5, 0.6
-SEGMENTS, SEGMENT = 9, 5
-BINS, SYMBOL_FUNCTIONS, SKETCH_FUNCTIONS = 32, 2, 6
-#: Of 192 sketch bits, a pair at the threshold is expected to differ in 38.4; 54 is 2.8 deviations more.
-MOST_BITS = 54
-SKETCH = tuple(f"s{i + 1}" for i in range(BINS * SKETCH_FUNCTIONS // 64))
-FILTER_BITS = 1 << 23
+SEGMENTS, SEGMENT = 12, 4
+SYMBOLS, BINS, FUNCTIONS = SEGMENTS * SEGMENT, 16, 3
+#: A pair at the threshold is expected to differ in 18 symbols at four bits each; 27 is 2.7 deviations more.
+MOST_SYMBOLS = 27
+SKETCH = tuple(f"s{i + 1}" for i in range(SYMBOLS // 16))
+#: Keys of more records than this are joined in salted parts. Counts are kept in so many cells.
+HOT_RECORDS, HOT_CELLS = 4096, 1 << 16
 
 
 _LONGS = ", ".join(f"{s} long" for s in SKETCH)
@@ -74,9 +80,8 @@ def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[
     sketches = np.zeros((len(rows), len(SKETCH)), np.int64)
     if fresh:
         hashes, owner = fp.char_shingles(fresh, SHINGLE)
-        minima = fp.bin_minima(hashes, owner, len(fresh), BINS, SYMBOL_FUNCTIONS + SKETCH_FUNCTIONS)
-        sketches[new] = fp.pack_bits(minima[:, SYMBOL_FUNCTIONS * BINS :])
-        own = np.ascontiguousarray(minima[:, : SEGMENTS * SEGMENT])
+        own = np.ascontiguousarray(fp.bin_minima(hashes, owner, len(fresh), BINS, FUNCTIONS))
+        sketches[new] = fp.pack_nibbles(own)
         for i, row in zip(np.flatnonzero(new), own):
             symbols[i] = row.tobytes()
     return pa.RecordBatch.from_arrays(
@@ -92,7 +97,7 @@ def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[
 
 
 def fingerprinted(records: DataFrame) -> DataFrame:
-    """``kind, id, class``, the sketch and the symbols of ``records(kind, id, text)`` with at least 240 normalised characters."""
+    """``kind, id, class``, the fingerprint (four bits a symbol, and whole) of ``records(kind, id, text)`` with at least 240 normalised characters."""
     rows = records.where((F.char_length("text") >= LEAST_CHARS) & F.col("id").isNotNull()).select("kind", "id", "text")
     return rows.mapInArrow(_fingerprints, "kind string, id string, class long, " + _LONGS + ", symbols binary")
 
@@ -101,7 +106,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ball of each segment: one key for each symbol left out, salted with the kind."""
     weights = fp.mix(np.arange(1, SEGMENTS * SEGMENT + 1, dtype=np.uint64)).reshape(SEGMENTS, SEGMENT)
     places = fp.mix(np.arange(1000, 1000 + SEGMENTS * SEGMENT, dtype=np.uint64)).reshape(SEGMENTS, SEGMENT)
-    balls, salts = SEGMENTS * SEGMENT, {}
+    balls, salts = SYMBOLS, {}
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -114,52 +119,112 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), *repeated], ["key", "class", *SKETCH])
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """``a, b``: classes within radius 1 in some segment and near in the complete sketch, each pair once.
+def _keyed(prints: DataFrame) -> DataFrame:
+    rows = prints.where("symbols is not null").select("symbols", "kind", "class", *SKETCH)
+    return rows.mapInArrow(_keys, "key long, class long, " + _LONGS)
 
-    The join is on the 64-bit key. Both its sides are the same exchange. A key that
-    many different texts share is one that adaptive execution splits; the test of
-    the complete distance is part of the join, so its pairs are not written.
+
+def distance(a: str, b: str) -> Column:
+    """In how many symbols two fingerprints at four bits a symbol differ, at least."""
+    return reduce(add, (_differing(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH))
+
+
+def _differing(x: Column) -> Column:
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _hot_cells(rows: DataFrame, hot: int) -> DataFrame | None:
+    """``cell, parts``: cells of hashed keys that must hold a key of more than ``hot`` records or many of some; None if none does.
+
+    Counts of a fixed number of cells combine before the shuffle, whatever the number of keys.
     """
-    rows = prints.where("symbols is not null").select("symbols", "kind", "class", *SKETCH).mapInArrow(
-        _keys, "key long, class long, " + _LONGS
-    )
-    left, right = rows.alias("l"), rows.alias("r")
-    bits = reduce(add, (F.bit_count(F.col(f"l.{s}").bitwiseXOR(F.col(f"r.{s}"))) for s in SKETCH))
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & (bits <= MOST_BITS)
-    return left.join(right, near).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
+    counts = rows.groupBy(F.pmod("key", F.lit(HOT_CELLS)).alias("cell")).agg(F.count("*").alias("n"))
+    counts = counts.collect()  # at most HOT_CELLS rows
+    mean = sum(r["n"] for r in counts) / HOT_CELLS
+    over = [(r["cell"], math.ceil((r["n"] - mean) / hot)) for r in counts if r["n"] > mean + max(hot, mean / 2)]
+    return rows.sparkSession.createDataFrame(over, "cell long, parts int") if over else None
+
+
+def candidates(prints: DataFrame, hot: int = HOT_RECORDS) -> DataFrame:
+    """``a, b``: classes within radius 1 in some segment and near in the complete fingerprint, each pair once.
+
+    The join is on the 64-bit key; both its sides are the same exchange. Keys that
+    many different texts share are joined apart: one side is dealt over the parts of
+    its cell, the other goes to each, so no task gets such a key as a whole and no
+    pair is lost. The complete distance is part of the join, so pairs that fail it
+    are not written.
+    """
+    rows = _keyed(prints)
+    near = (F.col("l.class") < F.col("r.class")) & (distance("l", "r") <= MOST_SYMBOLS)
+    ends = [F.col("l.class").alias("a"), F.col("r.class").alias("b")]
+    cells = _hot_cells(rows, hot)
+    cell = F.pmod("key", F.lit(HOT_CELLS)).alias("cell")
+    if cells is not None:
+        cells = F.broadcast(cells)  # at most HOT_CELLS rows
+        placed = rows.select("*", cell)
+        rows, shared = placed.join(cells, "cell", "left_anti").drop("cell"), placed.join(cells, "cell")
+        dealt = shared.withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")).alias("l")
+        copied = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
+        apart = dealt.join(copied, (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part")) & near).select(*ends)
+    pairs = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & near).select(*ends)
+    return (pairs if cells is None else pairs.union(apart)).distinct()
+
+
+@dataclass(frozen=True)
+class BitFilter:
+    """A bitmap over hashed strings that may say yes to a string that is not in it, never no to one that is.
+
+    It has at least 16 bits a string, so that at most one in sixteen of others passes,
+    as far as ``MOST_FILTER_BITS`` go (2 MB); beyond, :func:`where_may_contain` joins.
+    """
+
+    bits: np.ndarray
+    size: int
+
+    def __contains__(self, value: str) -> bool:
+        b = xxhash.xxh64_intdigest(value.encode(), 42) & (self.size - 1)
+        return bool(self.bits[b >> 3] >> (b & 7) & 1)
 
 
-def bit_of(value: str) -> int:
-    """The place of a string in a bitmap, as :func:`bit_filter` computes it in the JVM."""
-    return xxhash.xxh64_intdigest(value.encode(), 42) % FILTER_BITS
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 24
 
 
-def bit_filter(values: DataFrame, column: str) -> np.ndarray:
-    """A bitmap (uint8) of fixed size over hashed strings: 1 MB, whatever the number of values."""
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+def bit_filter(values: DataFrame, column: str) -> BitFilter | None:
+    """A filter of the size that the number of values asks for, as far as that is bounded; None if they are too many for one."""
+    count = values.count()
+    size = LEAST_FILTER_BITS
+    while size < 16 * count:
+        size *= 2
+    if size > MOST_FILTER_BITS:
+        return None
+    bit = F.pmod(F.xxhash64(column), F.lit(size))
     marks = values.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("m")
     )
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, m in marks.collect():  # at most FILTER_BITS / 64 rows
+    bitmap = np.zeros(size // 64, np.int64)
+    for w, m in marks.collect():  # at most MOST_FILTER_BITS / 64 rows
         bitmap[w] = m
-    return bitmap.view(np.uint8)
+    return BitFilter(bitmap.view(np.uint8), size)
 
 
-def where_may_contain(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
-    """The rows whose value may be one of those in the bitmap; never loses one that is.
+def where_may_contain(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose value may be one of ``values``, a table of one column of that name; never loses one that is.
 
     The bitmap is a broadcast variable, not a literal: plans, and the logs that
-    repeat them, stay small.
+    repeat them, stay small. Values too many for a bitmap are joined.
     """
-    shared, at = df.sparkSession.sparkContext.broadcast(bitmap), df.columns.index(column)
+    marked = bit_filter(values, column)
+    if marked is None:
+        return df.join(values.distinct(), column, "left_semi")
+    shared, at = df.sparkSession.sparkContext.broadcast(marked), df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        there = shared.value
         for batch in batches:
-            places = np.fromiter(map(bit_of, batch.column(at).to_pylist()), np.int64, batch.num_rows)
-            yield batch.filter(pa.array(bits[places >> 3] >> (places & 7) & 1 == 1))
+            keep = np.fromiter((v in there for v in batch.column(at).to_pylist()), bool, batch.num_rows)
+            yield batch.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)
 
@@ -205,17 +270,16 @@ def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def class_links(records: DataFrame, prints: DataFrame) -> DataFrame:
     """``a, b, similarity`` (a < b): pairs of different texts at or over the threshold.
 
-    One record stands for each class. Its text is fetched through a bitmap of fixed
-    size, so of the texts only those of candidates, and a few more, are shuffled. If
+    One record stands for each class. Its text is fetched through a bitmap, so of the
+    texts only those of candidates, and a few more, are shuffled. If
     its id stands with other texts too, those are not of the class and are dropped.
     """
     pairs = checkpointed(candidates(prints))
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     stands = prints.join(ends, "class", "left_semi").groupBy("class").agg(F.min(F.struct("kind", "id")).alias("r"))
     stands = checkpointed(stands.select("class", "r.kind", "r.id"))
-    bitmap = bit_filter(stands, "id")
     texts = records.where((F.char_length("text") >= LEAST_CHARS) & F.col("id").isNotNull()).select("kind", "id", "text")
-    texts = where_may_contain(texts, "id", bitmap).join(stands, ["kind", "id"]).select("class", "kind", "text")
+    texts = where_may_contain(texts, "id", stands.select("id")).join(stands, ["kind", "id"]).select("class", "kind", "text")
     texts = texts.mapInArrow(_of_class, "class long, text string").groupBy("class").agg(F.min("text").alias("text"))
     sides = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a")
     sides = sides.join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")

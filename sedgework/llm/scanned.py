@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.neardup import FILTER_BITS, bit_filter, bit_of
+from sedgework.llm.neardup import BitFilter, bit_filter
 from sedgework.session import checkpointed
 
 # What is read -> what stands on the page.
@@ -290,7 +290,7 @@ def corrections(words: DataFrame) -> DataFrame:
 
 def _observed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``kind, id, what, word, file, line``: sure defects, joined words, words that may be bad, lines that may be headers."""
-    bits = shared.value
+    bad: BitFilter | None = shared.value
     known: dict[str, tuple[str, ...]] = {}
 
     def may_be_bad(token: str) -> tuple[str, ...]:
@@ -298,7 +298,7 @@ def _observed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         if k is None:
             if len(known) > 500_000:
                 known.clear()
-            k = known[token] = tuple(w for w in words_of(token) if bits[(b := bit_of(w)) >> 3] >> (b & 7) & 1)
+            k = known[token] = tuple(w for w in words_of(token) if bad is None or w in bad)
         return k
 
     for batch in batches:
@@ -339,7 +339,7 @@ def repeated_lines(observed: DataFrame) -> DataFrame:
 
 
 def _observations(records: DataFrame, bad: DataFrame) -> DataFrame:
-    shared = records.sparkSession.sparkContext.broadcast(bit_filter(bad, "bad"))  # FILTER_BITS / 8 bytes
+    shared = records.sparkSession.sparkContext.broadcast(bit_filter(bad, "bad"))  # 2 MB at most
     rows = records.where("text is not null and id is not null").select("kind", "id", "file", "line", "text", "heading")
     schema = "kind string, id string, what string, word string, file string, line long"
     return rows.mapInArrow(lambda b: _observed(shared, b), schema)

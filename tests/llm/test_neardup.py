@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import dicts
+from sedgework.llm import fingerprints as fp
 from sedgework.llm import neardup as N
 
 SCHEMA = "kind string, id string, text string, class long"
@@ -116,7 +119,7 @@ def test_components(spark, seed):
 def test_the_bitmap_never_loses_a_value(spark):
     df = spark.createDataFrame([(f"id{i}",) for i in range(500)], "id string")
     some = df.where("cast(substring(id, 3) as int) % 7 = 0")
-    kept = {r["id"] for r in dicts(N.where_may_contain(df, "id", N.bit_filter(some, "id")))}
+    kept = {r["id"] for r in dicts(N.where_may_contain(df, "id", some))}
     assert {r["id"] for r in dicts(some)} <= kept and len(kept) < 100
 
 
@@ -124,3 +127,48 @@ def test_plan_has_no_cross_join(spark):
     df = spark.createDataFrame([("parent", "a", " ".join(WORDS), 1)], SCHEMA)
     plan = N.candidates(N.fingerprinted(df))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def varied(rng, base, n):
+    """Different texts around one base, each with its own words."""
+    out = []
+    for i in range(n):
+        words = base.split()
+        for k in rng.sample(range(len(words)), 4):
+            words[k] = f"w{i}x{k}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_hot_keys_are_joined_in_parts_with_the_same_result(spark):
+    rng = random.Random(5)
+    base = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(90))
+    rows = [("parent", f"p{i:03d}", t) for i, t in enumerate(varied(rng, base, 60))]
+    prints = N.fingerprinted(spark.createDataFrame(rows, "kind string, id string, text string"))
+    keyed = N._keyed(prints)
+    assert N._hot_cells(keyed, N.HOT_RECORDS) is None
+    cells = {r["cell"]: r["parts"] for r in N._hot_cells(keyed, 8).collect()}
+    assert cells and max(cells.values()) > 1
+    whole = {tuple(r) for r in N.candidates(prints).collect()}
+    assert {tuple(r) for r in N.candidates(prints, hot=8).collect()} == whole and len(whole) > 1000
+
+
+def test_distance_counts_symbols(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 31, (40, N.SYMBOLS)).astype(np.uint32)
+    b = np.where(rng.random(a.shape) < 0.4, rng.integers(0, 1 << 31, a.shape).astype(np.uint32), a)
+    rows = [(*map(int, x), *map(int, y)) for x, y in zip(fp.pack_nibbles(a), fp.pack_nibbles(b))]
+    names = [f"{side}{s}" for side in "ab" for s in N.SKETCH]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    df = df.select(*(F.struct(*(F.col(f"{side}{s}").alias(s) for s in N.SKETCH)).alias(side) for side in "ab"))
+    got = [r[0] for r in df.select(N.distance("a", "b")).collect()]
+    assert got == ((a & 15) != (b & 15)).sum(axis=1).tolist()
+
+
+def test_values_too_many_for_a_bitmap_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(f"v{i}", i) for i in range(200)], "v string, n int")
+    few = spark.createDataFrame([("v3",), ("v7",), ("v7",)], "v string")
+    met = {r["v"] for r in N.where_may_contain(df, "v", few).collect()}
+    assert {"v3", "v7"} <= met and len(met) < 100
+    monkeypatch.setattr(N, "MOST_FILTER_BITS", 1)
+    assert sorted(r["v"] for r in N.where_may_contain(df, "v", few).collect()) == ["v3", "v7"]
