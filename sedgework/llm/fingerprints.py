@@ -56,6 +56,11 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the words stand in a text; lower case may be longer, so case is left as it is."""
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
 def word_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`char_shingles` over words; shorter texts have the one shingle of all their words."""
     ids: dict[str, int] = {}

@@ -147,29 +147,34 @@ def _hot_cells(rows: DataFrame, hot: int) -> DataFrame | None:
     return rows.sparkSession.createDataFrame(over, "cell long, parts int") if over else None
 
 
-def candidates(prints: DataFrame, hot: int = HOT_RECORDS) -> DataFrame:
-    """``a, b``: classes within radius 1 in some segment and near in the complete fingerprint, each pair once.
-
-    The join is on the 64-bit key; both its sides are the same exchange. Keys that
-    many different texts share are joined apart: one side is dealt over the parts of
-    its cell, the other goes to each, so no task gets such a key as a whole and no
-    pair is lost. The complete distance is part of the join, so pairs that fail it
-    are not written.
+def meeting(rows: DataFrame, near: Column | None = None, hot: int = HOT_RECORDS) -> DataFrame:
+    """``a, b``: the classes of ``rows(key, class, ...)`` that share a key, the lesser first, each pair once.
+
+    Both sides of the join are the same exchange. ``near`` is a condition on the
+    sides ``l`` and ``r`` and part of the join, so pairs that fail it are not written.
+    Keys that many different classes share are joined apart: one side is dealt over
+    the parts of its cell, the other goes to each, so no task gets such a key as a
+    whole and no pair is lost.
     """
-    rows = _keyed(prints)
-    near = (F.col("l.class") < F.col("r.class")) & (distance("l", "r") <= MOST_SYMBOLS)
+    ordered = F.col("l.class") < F.col("r.class")
+    near = ordered if near is None else ordered & near
     ends = [F.col("l.class").alias("a"), F.col("r.class").alias("b")]
     cells = _hot_cells(rows, hot)
-    cell = F.pmod("key", F.lit(HOT_CELLS)).alias("cell")
-    if cells is not None:
-        cells = F.broadcast(cells)  # at most HOT_CELLS rows
-        placed = rows.select("*", cell)
-        rows, shared = placed.join(cells, "cell", "left_anti").drop("cell"), placed.join(cells, "cell")
-        dealt = shared.withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")).alias("l")
-        copied = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
-        apart = dealt.join(copied, (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part")) & near).select(*ends)
-    pairs = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & near).select(*ends)
-    return (pairs if cells is None else pairs.union(apart)).distinct()
+    if cells is None:
+        return rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & near).select(*ends).distinct()
+    cells = F.broadcast(cells)  # at most HOT_CELLS rows
+    placed = rows.withColumn("cell", F.pmod("key", F.lit(HOT_CELLS)))
+    rest, shared = placed.join(cells, "cell", "left_anti").drop("cell"), placed.join(cells, "cell")
+    dealt = shared.withColumn("part", F.pmod(F.xxhash64("class"), "parts").cast("int")).alias("l")
+    copied = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
+    apart = dealt.join(copied, (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part")) & near).select(*ends)
+    pairs = rest.alias("l").join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & near).select(*ends)
+    return pairs.union(apart).distinct()
+
+
+def candidates(prints: DataFrame, hot: int = HOT_RECORDS) -> DataFrame:
+    """``a, b``: classes within radius 1 in some segment and near in the complete fingerprint, each pair once."""
+    return meeting(_keyed(prints), distance("l", "r") <= MOST_SYMBOLS, hot)
 
 
 @dataclass(frozen=True)

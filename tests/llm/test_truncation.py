@@ -9,23 +9,56 @@ SENTENCE = "The quick technician compared the humid container with the older one
 @pytest.mark.parametrize(
     "text, state",
     [
-        ("A whole sentence.", "whole"), ("文が終わる。", "whole"), ("Really?", "whole"), ("Yes! \u200b\n", "whole"), ("He said “done.”", "whole"),
-        ("(An aside.)", "whole"), ("index, centrifuge, etc.", "whole"), ("all of it ...\n\n— end of file —", "whole"), ("```\ncode\n```", "whole"),
-        ("| a | b |\n|---|---|\n| 1 | 2 |", "whole"), ("- item", "item"), ("# Title", "item"), ("Text.\n\nRef: /srv/kb/notes/9.md", "item"),
-        ("Text.\n\nSigned: the night shift, bench 17", "line"), ("It was remotel", "cut"), ("With a polymer,", "cut"), ("then the …", "cut"), ("the th…", "cut"),
+        ("A whole sentence.", "plain ."), ("文が終わる。", "plain 。"), ("Really?", "plain ?"), ("Yes! \u200b\n", "plain !"), ("He said “done.”", "plain ."),
+        ("(An aside.)", "plain ."), ("index, centrifuge, etc.", "plain ."), ("all of it ...\n\n— end of file —", "framed —"), ("```\ncode\n```", "whole"),
+        ("| a | b |\n|---|---|\n| 1 | 2 |", "whole"), ("- item", "item w"), ("# Title", "heading w"), ("Text.\n\nRef: /srv/kb/notes/9.md", "path w"),
+        ("Text.\n\nSigned: the night shift, bench 17", "words"), ("It was remotel", "plain w"), ("With a polymer,", "plain ,"), ("then the …", "cut"), ("the th…", "cut"),
+        ("Part 7: it is done here. Nothing mo", "plain w"), ("- it is done. Nothing mo", "plain w"),
         ("the h...", "cut"), ("in t\ufffd", "cut"), ("```\ncode", "cut"), ("| a | b |\n|---|---|\n| 1", "cut"), ("| a | b |\n|---|---|\n| 1 |", "cut"),
         ("Text. [link](../notes/6", "cut"), ("Text. (Each one is here.", "cut"), ("Text. “Each one is here.", "cut"), ("", "blank"), (None, "blank"), (" \n", "blank"),
     ],
 )
 def test_endings(text, state):
-    assert T.ending(text)[0] == state
+    got, what = T.ending(text)
+    assert (what if got == "unit" else got) == state
+
+
+def test_units_are_counted_by_paragraph():
+    counts = {}
+    for unit, ends, inside in T.units("# One\n\nIt is here. It, too.\n- a b\n- c\n\nThe last paragr"):
+        e, n = counts.get(unit, (0, 0))
+        counts[unit] = (e + ends, n + inside)
+    assert counts == {"heading w": (1, 0), "heading #": (0, 1), "plain .": (0, 2), "plain w": (0, 2), "plain ,": (0, 1), "item w": (1, 2), "item -": (0, 2)}
+
+
+def test_terminality_is_learned_from_the_corpus(spark):
+    """A mark that the prior does not know becomes an ending where the corpus ends paragraphs with it."""
+    usual = [(f"Number {i} is here ;\n\nAnd so is another {i} ;\n\nThis one, too {i} ;", "a") for i in range(40)]
+    never = [(f"Here {i} ; and there ; and on ; and on ; and on.\n\nIt is done {i}.", "a") for i in range(40)]
+    assert not any(judged(spark, usual)[1].values())
+    assert judged(spark, never + [("It goes on ;", "a")])[1] == {i: i == 40 for i in range(41)}
 
 
 def test_alignment():
     text = " ".join(f"{SENTENCE} {i}" for i in range(12))
     assert T.ends_early(text[:-40], text) == -1 and T.ends_early(text, text[:-40]) == 1
     assert T.ends_early(text, text) == 0 and T.ends_early("alpha " * 30, text) == 0
-    assert T.ends_early(text + " extra ending", text.replace("older", "elder", 1)) == 1
+    assert T.ends_early(text + " extra ending", text.replace("older", "elder", 1)) == 0, "the other closes a sentence there"
+    assert T.ends_early(text.rstrip("1."), text) == -1
+
+
+@pytest.mark.parametrize("share", [0.9, 0.75, 0.6, 0.4])
+def test_a_copy_may_be_cut_to_any_part(share):
+    words = [f"word{i}" for i in range(200)]
+    part = " ".join(words[: int(200 * share)])
+    assert T.ends_early(part, " ".join(words)) == -1 and T.ends_early(part[:-2], " ".join(words)) == -1
+
+
+def test_alignment_finds_cut_copies_that_their_endings_do_not_show(spark):
+    items = "\n".join(f"- part {i} of the {i * 7} pieces in box {i * 3}" for i in range(40))
+    rows = [(items, "a"), (items[: int(len(items) * 0.6)].rsplit(" ", 2)[0], "a"), ("\n".join(items.split("\n")[:30]), "b")]
+    got = judged(spark, rows)[1]
+    assert got[0] is False and got[1] is True
 
 
 def judged(spark, rows):
