@@ -43,8 +43,9 @@ def test_alignment():
     text = " ".join(f"{SENTENCE} {i}" for i in range(12))
     assert T.ends_early(text[:-40], text) == -1 and T.ends_early(text, text[:-40]) == 1
     assert T.ends_early(text, text) == 0 and T.ends_early("alpha " * 30, text) == 0
-    assert T.ends_early(text + " extra ending", text.replace("older", "elder", 1)) == 0, "the other closes a sentence there"
-    assert T.ends_early(text.rstrip("1."), text) == -1
+    assert T.ends_early(text + " extra ending", text.replace("older", "elder", 1)) == 1
+    assert T.ends_early(text[: text.rindex(".")], text) == -1, "the stop is missing"
+    assert T.ends_early(text[: text.rindex(".") + 1], text) == 0, "between sentences"
 
 
 @pytest.mark.parametrize("share", [0.9, 0.75, 0.6, 0.4])
