@@ -3,10 +3,10 @@
 Sizes per source are one aggregation. The seats of a Sainte-Lague apportionment are
 equal-token blocks; a source stops winning seats at its capacity, which is its size
 times its permitted repeats. What a source's quota leaves beyond whole uses is then
-apportioned to its shards in tokens, and a seeded order inside (source, shard)
-decides which documents are used once more than the others. Shards are salts: a
-source has as many as its own documents need, so no window holds a large source as
-a whole and a small one is not cut into pieces of single documents.
+apportioned to its shards in whole blocks, and the seeded order inside (source, shard)
+decides which blocks those are. Shards are salts: a source has as many as its own
+documents need, so no window holds a large source as a whole and a small one is not
+cut into pieces of single documents.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def source_sizes(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def quotas(sized: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``source, target_share, max_repeats, tokens, documents, total, short, quota, quota_share``.
+    """``source, target_share, max_repeats, tokens, documents, total, short, block, quota, quota_share``.
 
     ``short``: the target is more than ``max_repeats`` times the source's own size.
     ``quota`` is the source's part in tokens. What short sources cannot give goes to
@@ -87,6 +87,7 @@ def quotas(sized: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFr
             *r,
             total,
             r["target_share"] * total > r["max_repeats"] * r["tokens"],
+            block,
             won[r["source"]] * block,
             won[r["source"]] / seats if seats else 0.0,
         )
@@ -95,38 +96,41 @@ def quotas(sized: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFr
     return spark.createDataFrame(
         out,
         "source string, target_share double, max_repeats int, tokens long, documents long, total long,"
-        " short boolean, quota long, quota_share double",
+        " short boolean, block long, quota long, quota_share double",
     )
 
 
-def _shard_parts(quota: dict[str, int], shards: dict[str, int], placed: DataFrame) -> list[tuple[str, int, int]]:
-    """``source, shard, part``: each source's quota in whole tokens by shard; the parts of a source sum to its quota.
+def _shard_blocks(rest: dict[str, int], shards: dict[str, int], block: int, placed: DataFrame) -> list[tuple[str, int, int]]:
+    """``source, shard, blocks``: how many blocks each source takes beyond whole uses, by shard; those of a source sum to its own.
 
     By the same quotients as the sources, with the shards' tokens as weights and
-    limits. A source of one shard needs no sums.
+    their blocks as limits. A source of one shard needs no sums.
     """
-    out = [(s, 0, quota[s]) for s in quota if shards[s] == 1]
-    sums: dict[str, dict[int, int]] = {s: {} for s in quota if shards[s] > 1}
+    wanted = {s: (n + block // 2) // block for s, n in rest.items()}
+    out = [(s, 0, wanted[s]) for s in wanted if shards[s] == 1]
+    sums: dict[str, dict[int, int]] = {s: {} for s in wanted if shards[s] > 1}
     if sums:
         own = placed.where("shards > 1").groupBy("source", "_shard").agg(F.sum("tokens").alias("n"))
         for r in own.collect():  # a row per DOCUMENTS_PER_SHARD documents
             sums[r["source"]][r["_shard"]] = r["n"]
     for s, own in sums.items():
-        out += [(s, i, n) for i, n in apportion(own, quota[s], own).items()]
+        out += [(s, i, n) for i, n in apportion(own, wanted[s], {i: math.ceil(n / block) for i, n in own.items()}).items()]
     return out
 
 
 def mixture(sized: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int = 0) -> DataFrame:
     """``key, source, tokens, times``: how often each document is used, never more than ``max_repeats``.
 
-    ``sized`` has ``key, source, tokens``; ``plan`` comes from :func:`quotas`. A
-    document is used ``quota // size`` times, those that come first in the seeded
-    order of their (source, shard) once more until the shard's part, a whole number
-    of tokens, is filled; it is met up to half a document.
-    Documents used no time, empty ones and sources without a target are left out.
-    Repeated rows are documents of their own.
+    ``sized`` has ``key, source, tokens``; ``plan`` comes from :func:`quotas`. Each
+    (source, shard) is put into a seeded order and that is cut into blocks of equal
+    tokens; a document belongs to the block that holds its middle. A document is used
+    ``quota // size`` times, those of the first blocks once more: as many blocks as
+    the shard has been given, a whole number. A source is met up to half a block and
+    half a document for each of its shards. Documents used no time, empty ones and
+    sources without a target are left out. Repeated rows are documents of their own.
     """
     rows = [r for r in plan.collect() if r["tokens"]]  # one row per target
+    block = rows[0]["block"] if rows else 1
     shards = {r["source"]: max(1, math.ceil(r["documents"] / DOCUMENTS_PER_SHARD)) for r in rows}
     parts = [(r["source"], min(r["quota"] // r["tokens"], r["max_repeats"]), r["max_repeats"], shards[r["source"]]) for r in rows]
     plan = sized.sparkSession.createDataFrame(parts, "source string, base int, most int, shards int")
@@ -136,12 +140,13 @@ def mixture(sized: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int =
         .withColumn("_at", F.xxhash64(F.lit(seed), F.col(key)))
         .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.col("shards")).cast("int"))
     )
-    rest = _shard_parts({r["source"]: r["quota"] % r["tokens"] for r in rows}, shards, placed)
-    rest = sized.sparkSession.createDataFrame(rest, "source string, _shard int, rest long")
+    given = _shard_blocks({r["source"]: r["quota"] % r["tokens"] for r in rows}, shards, block, placed)
+    given = sized.sparkSession.createDataFrame(given, "source string, _shard int, _given long")
     group = Window.partitionBy("source", "_shard")
     before = F.sum("tokens").over(group.orderBy("_at", key).rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.join(F.broadcast(rest), ["source", "_shard"])  # a row per DOCUMENTS_PER_SHARD documents
-    once_more = ((F.coalesce(before, F.lit(0)) + F.col("tokens") / 2) <= F.col("rest")) & (F.col("base") < F.col("most"))
+    placed = placed.join(F.broadcast(given), ["source", "_shard"])  # a row per DOCUMENTS_PER_SHARD documents
+    number = F.floor((F.coalesce(before, F.lit(0)) + F.col("tokens") / 2) / block)
+    once_more = (number < F.col("_given")) & (F.col("base") < F.col("most"))
     times = F.col("base") + F.when(once_more, 1).otherwise(0)
     return placed.withColumn("times", times.cast("int")).where("times > 0").select(key, "source", "tokens", "times")
 

@@ -51,6 +51,15 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parents.select(F.lit("parent").alias("kind"), "*").unionByName(chunks.select(F.lit("chunk").alias("kind"), "*"))
 
 
+def p4_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of each text: their new parts make it up, none is too long, each repeats 200 characters at most."""
+    new = F.struct("piece", F.expr("substring(content, new_from - starts_at + 1)").alias("t"))
+    limit = F.when(F.col("kind") == "parent", PARENT_LIMIT).otherwise(CHUNK_LIMIT)
+    pieces = p4_pieces(spark, sf_dir).withColumn("over", (F.char_length("content") > limit) | (F.col("new_from") - F.col("starts_at") > OVERLAP))
+    joined = pieces.groupBy("kind", "id").agg(F.sort_array(F.collect_list(new)).alias("ps"), F.count_if("over").alias("too_long"))
+    return joined.select("kind", "id", F.md5(F.array_join("ps.t", "")).alias("text_md5"), "too_long")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).select("kind", "id").distinct()
 
@@ -75,6 +84,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each document turned into text again."""
+    return tokenizing.token_texts(p8_ids(spark, sf_dir), "doc_id")
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.token_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
 
@@ -89,6 +103,22 @@ def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(sized, mixing.quotas(sized, table(spark, sf_dir, "mix_targets")))
 
 
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mixture of each source: repeats within the limit, tokens met, all documents used where the target is out of reach."""
+    sized = checkpointed(_sized(spark, sf_dir))
+    plan = mixing.quotas(sized, table(spark, sf_dir, "mix_targets"))
+    used = mixing.mixture(sized, plan).groupBy("source").agg(
+        F.max("times").alias("times"), F.min("times").alias("least"), F.max("tokens").alias("longest"), F.sum(F.col("tokens") * F.col("times")).alias("used")
+    )
+    shards = F.ceil(F.col("documents") / mixing.DOCUMENTS_PER_SHARD) + 1
+    missed = F.abs(F.coalesce("used", F.lit(0)) - F.col("quota"))
+    return plan.join(used, "source", "left").select(
+        "source",
+        (F.coalesce("times", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"),
+        (missed <= F.col("block") + shards * F.coalesce("longest", F.lit(0))).alias("quota_met"),
+    )
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)
 
@@ -111,7 +141,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p3_found, p3_repaired, p4_found, p4_pieces, p5_found, p5_ranking, p6_found, p6_cleaned, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)
+    for f in (p2_found, p2_groups, p3_found, p3_repaired, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_ranking, p6_found, p6_cleaned, p8_ids, p8_decoded, p9_found, p9_kept, p9_mixture, p9_shares, p10_found, p10_rates)
 }
 
 _P5 = """
@@ -136,6 +166,11 @@ SQL = {
     "p4_found": """
 select distinct 'parent' as kind, id from parents where length(content) > 4000
 union all select distinct 'chunk' as kind, id from chunks where length(chunk_content) > 2000""",
+    "p4_rebuilt": """
+select distinct 'parent' as kind, id, md5(content) as text_md5, 0::bigint as too_long from parents where length(content) > 4000
+union all select distinct 'chunk' as kind, id, md5(chunk_content), 0 from chunks where length(chunk_content) > 2000""",
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    "p9_kept": "select distinct source, true as within_repeats, true as quota_met from mix_targets where source is not null",
     "p5_found": _P5 + "select search_id, chunk_id from places where place = 1",
     "p5_ranking": _P5 + "select * from places",
 }

@@ -62,10 +62,13 @@ def test_small_sources_meet_their_quota_beside_many_shards(spark, monkeypatch):
         assert abs(used["big"] - quota["big"]) <= 54 * 40, "half a document a shard"
 
 
-def test_parts_of_shards_are_whole_and_sum_to_the_quota(spark):
+def test_shards_get_whole_blocks_that_sum_to_those_of_the_source(spark):
     placed = spark.createDataFrame([("s", i % 7, 5, 10 + i) for i in range(70)], "source string, _shard int, shards int, tokens int")
-    parts = M._shard_parts({"s": 1001, "t": 3}, {"s": 7, "t": 1}, placed)
-    assert ("t", 0, 3) in parts and sum(n for s, _, n in parts if s == "s") == 1001 and len(parts) == 8
+    own = {k: sum(10 + i for i in range(70) if i % 7 == k) for k in range(7)}
+    for rest, blocks in ((1001, 20), (3115, 62), (0, 0)):
+        parts = M._shard_blocks({"s": rest, "t": 130}, {"s": 7, "t": 1}, 50, placed)
+        assert ("t", 0, 3) in parts and sum(n for s, _, n in parts if s == "s") == blocks and len(parts) == 8
+        assert all(n * 50 < own[k] + 50 for s, k, n in parts if s == "s")
 
 
 def test_seeded_and_odd_input(spark):

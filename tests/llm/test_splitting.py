@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import dicts
-from sedgework.llm.splitting import split_oversized, split_text
+from sedgework.llm.splitting import merged, split_oversized, split_text
 
 
 def check(text, limit, overlap):
@@ -55,3 +55,39 @@ PARTS = ["# H\n", "word ", "a. ", "。", "\n\n", "- i\n", "```\n", "~~~\n", "x",
 @given(st.lists(st.sampled_from(PARTS), min_size=1), st.integers(2, 40), st.data())
 def test_any_text_is_covered(parts, limit, data):
     check("".join(parts), limit, data.draw(st.integers(0, limit - 1)))
+
+
+PROSE = "A sentence of some length is here. "
+
+
+def test_headings_stay_with_what_they_head_and_siblings_apart():
+    text = "# A\n\n" + PROSE * 150 + "\n\n## B\n\nShort.\n\n# C\n\n" + PROSE * 3
+    pieces = check(text, 2000, 0)
+    assert pieces[0].startswith("# A\n\nA sentence") and len(pieces[0]) > 1000
+    assert pieces[-1].startswith("# C") and pieces[-2].startswith("## B"), "not merged across a node that was cut"
+    assert [p for p in pieces if p.lstrip().startswith("#")] == [pieces[0], *pieces[-2:]]
+
+
+def test_a_title_goes_with_its_first_section():
+    text = "# T\n\n" + "".join(f"## S{i}\n\n" + PROSE * 40 + "\n\n" for i in range(3))
+    pieces = check(text, 1500, 0)
+    assert [p.split("\n")[0] for p in pieces] == ["# T", "## S1", "## S2"]
+
+
+def test_list_items_are_kept_whole_with_what_is_nested_in_them():
+    item = "- " + PROSE * 3 + "\n" + "".join(f"  - {PROSE}\n    and on\n" for _ in range(4))
+    pieces = check("Intro.\n\n" + item * 12, 700, 0)
+    assert all(p.lstrip().startswith(("Intro", "- ")) for p in pieces) and not any("\n    and on" not in p and p.startswith("  ") for p in pieces)
+    small = check(item * 3, 200, 0)
+    assert all(p.startswith(("- ", "  - ", PROSE[:5])) for p in small)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=40), st.integers(30, 80))
+def test_merging_leaves_no_two_neighbours_that_fit(sizes, limit):
+    marks = [0]
+    for n in sizes:
+        marks.append(marks[-1] + n)
+    got = merged(list(zip(marks, marks[1:])), limit)
+    assert got[0][0] == 0 and got[-1][1] == marks[-1] and all(x[1] == y[0] for x, y in zip(got, got[1:]))
+    assert all(b - a <= limit for a, b in got) and all(y[1] - x[0] > limit for x, y in zip(got, got[1:]))
