@@ -4,11 +4,12 @@ A text is read once into stretches: fenced code is content as it stands, everyth
 else goes through the four kinds of markup in turn. Each converter reports whether
 it found any of its kind, so that the kinds of a field come from cleaning it.
 
-HTML pages go through a DOM. For every node the composite text density is the number
-of characters outside links per tag, lowered by the share of characters in links;
-the subtree kept is the one with the greatest sum of its children's densities
-whose own density reaches the threshold, which is the least density on the path
-from the body to the densest node. Fragments without a body keep all their text.
+HTML goes through a DOM. For every node the composite text density is the number of
+characters per tag, lowered by the share of characters in links. The threshold is the
+least density on the path from the body to the node with the greatest sum of its
+children's densities. Of a page, the subtree kept is the one with the greatest sum
+whose own density reaches the threshold. Fragments, whose root counts as the body,
+lose only what stands under the threshold and mostly in links: menus and the like.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -62,6 +64,7 @@ class Node:
 def parse_html(text: str) -> Node:
     """A forgiving tree: unknown ends are ignored, open tags end with their parent."""
     root = node = Node("#root")
+    open_: Counter[str] = Counter()  # so that an end of nothing is no search up the tree
     at = 0
     for m in _TAG.finditer(text):
         if m.start() > at:
@@ -71,18 +74,20 @@ def parse_html(text: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            while open_[tag]:
+                open_[node.tag] -= 1
+                node, ended = node.parent, node.tag
+                if ended == tag:
+                    break
         else:
             if tag in ("li", "tr", "td", "th", "p", "dt", "dd", "option") and node.tag == tag:
+                open_[tag] -= 1
                 node = node.parent
             child = Node(tag, node)
             node.children.append(child)
             if tag not in _VOID and not m[0].endswith("/>"):
                 node = child
+                open_[tag] += 1
     if at < len(text):
         node.children.append(text[at:])
     _measure(root)
@@ -114,51 +119,55 @@ def _measure(root: Node) -> None:
             base = math.log(c / max(1, c - lc) * lc + body_links / body_chars * c + math.e)
             adjusted = math.log(max(1.0, c / max(1, lc) * t / max(1, node.link_tags)))
             node.density = c / t * adjusted / max(0.1, math.log(base))
-        node.density_sum = sum(ch.density for ch in node.children if isinstance(ch, Node)) + (
-            node.density if not any(isinstance(ch, Node) for ch in node.children) else 0.0
-        )
+        node.density_sum = sum(ch.density if isinstance(ch, Node) else float(len(ch.strip())) for ch in node.children)
 
 
-def main_subtree(root: Node) -> Node:
-    """The subtree of greatest density sum whose density reaches the threshold of the body's path."""
-    nodes, stack = [], [root]
+def _nodes(top: Node) -> list[Node]:
+    """The node and all below it that may hold content."""
+    out, stack = [], [top]
     while stack:
         node = stack.pop()
-        nodes.append(node)
+        out.append(node)
         stack += [c for c in node.children if isinstance(c, Node) and c.tag not in _DROPPED]
-    body = next((n for n in nodes if n.tag == "body"), None)
-    if body is None:
-        return root
-    inside = [n for n in nodes if n is not body and _under(n, body) and n.chars]
-    if not inside:
-        return body
-    densest = max(inside, key=lambda n: n.density_sum)
-    threshold, up = densest.density, densest
-    while up is not body:
-        up = up.parent
-        threshold = min(threshold, up.density)
-    kept = [n for n in inside if n.density >= threshold and any(isinstance(c, Node) and c.tag in _BLOCK for c in n.children)]
-    return max(kept, key=lambda n: n.density_sum, default=body)
-
-
-def _under(node: Node, top: Node) -> bool:
-    while node is not None and node is not top:
+    return out
+
+
+def threshold(body: Node, nodes: list[Node]) -> float:
+    """The least density from the node of greatest sum up to the body."""
+    node = max((n for n in nodes if n.chars), key=lambda n: n.density_sum, default=body)
+    least = node.density
+    while node is not body:
         node = node.parent
-    return node is top
+        least = min(least, node.density)
+    return least
+
+
+def content_of(root: Node) -> tuple[Node, frozenset[int]]:
+    """The subtree to keep, and the identities of nodes below it to leave out."""
+    nodes = _nodes(root)
+    body = next((n for n in nodes if n.tag == "body"), None)
+    if body is not None:
+        inside = [n for n in _nodes(body) if n.chars]
+        least = threshold(body, inside)
+        blocks = [n for n in inside if n.density >= least and any(isinstance(c, Node) and c.tag in _BLOCK for c in n.children)]
+        return max(blocks, key=lambda n: n.density_sum, default=body), frozenset()
+    least = threshold(root, nodes)
+    return root, frozenset(id(n) for n in nodes if n.tag in _BLOCK and n.density < least and 2 * n.link_chars > n.chars and n.link_tags > 1)
+
+
+_CELL, _END = object(), object()
 
 
-def _render(node: Node, out: list[str], depth: int = 0) -> None:
-    """Text of a tree: headings as #, items as -, rows with |, pre as fenced code."""
-    if depth > 400:  # deeper nesting carries no structure; its text stays
-        out.append(" ".join(_texts(node)))
-        return
+def _items(node: Node, left_out: frozenset[int]) -> list:
+    """What a node's content is written as: strings, nodes in their place, and the ends of table cells."""
+    out: list = []
     number = 0
     for c in node.children:
         if isinstance(c, str):
             out.append(c)
             continue
         tag = c.tag
-        if tag in _DROPPED:
+        if tag in _DROPPED or id(c) in left_out:
             continue
         if tag == "br":
             out.append("\n")
@@ -167,27 +176,38 @@ def _render(node: Node, out: list[str], depth: int = 0) -> None:
         elif tag == "pre":
             out.append("\n\n```\n" + html.unescape("".join(_texts(c))).strip("\n") + "\n```\n\n")
         elif tag[0] == "h" and tag[1:].isdigit():
-            out.append("\n\n" + "#" * int(tag[1:]) + " ")
-            _render(c, out, depth + 1)
-            out.append("\n\n")
+            out += ["\n\n" + "#" * int(tag[1:]) + " ", c, "\n\n"]
         elif tag == "li":
             number += 1
-            out.append(f"\n{number}. " if node.tag == "ol" else "\n- ")
-            _render(c, out, depth + 1)
+            out += [f"\n{number}. " if node.tag == "ol" else "\n- ", c]
         elif tag == "tr":
-            cells = []
-            for cell in c.children:
-                if isinstance(cell, Node):
-                    part: list[str] = []
-                    _render(cell, part, depth + 1)
-                    cells.append(" ".join("".join(part).split()))
-            out.append("\n" + " | ".join(cells))
+            cells = [x for x in c.children if isinstance(x, Node)]
+            out += ["\n", *(y for i, x in enumerate(cells) for y in ([" | "] if i else []) + [_CELL, x, _END])]
         elif tag in _BLOCK:
-            out.append("\n\n" if tag not in ("tbody", "thead", "tfoot") else "\n")
-            _render(c, out, depth + 1)
-            out.append("\n\n" if tag not in ("tbody", "thead", "tfoot") else "\n")
+            gap = "\n\n" if tag not in ("tbody", "thead", "tfoot") else "\n"
+            out += [gap, c, gap]
+        else:
+            out.append(c)
+    return out
+
+
+def _render(root: Node, left_out: frozenset[int] = frozenset()) -> str:
+    """Text of a tree: headings as #, items as -, rows with |, pre as fenced code; nesting may be of any depth."""
+    out: list[str] = []
+    cells: list[int] = []
+    stack: list = [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x is _CELL:
+            cells.append(len(out))
+        elif x is _END:
+            at = cells.pop()
+            out[at:] = [" ".join("".join(out[at:]).split())]
         else:
-            _render(c, out, depth + 1)
+            stack += reversed(_items(x, left_out))
+    return "".join(out)
 
 
 def _texts(node: Node) -> Iterator[str]:
@@ -204,9 +224,7 @@ def from_html(text: str) -> tuple[str, bool]:
     found = False
     if "<" in text and _TAG.search(text):
         found = True
-        out: list[str] = []
-        _render(main_subtree(parse_html(text)), out)
-        text = "".join(out)
+        text = _render(*content_of(parse_html(text)))
     if "&" in text and _ENTITY.search(text):
         plain = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
         found, text = found or plain != text, plain.replace("\xa0", " ")
@@ -219,7 +237,7 @@ _LATEX_HEAD = re.compile(r"\\(part|chapter|section|subsection|subsubsection|para
 _LATEX_MATH = re.compile(r"\\\[(?=[^\n]*\\\])|\\\((?=[^\n]*\\\))|\$\$(?=[^$]+\$\$)")
 _LATEX_INLINE = re.compile(r"(?<![\\$])\$(?!\s)([^$\n]*[\\^_{][^$\n]*?)(?<!\s)\$(?!\d)")
 _LATEX_DROP = re.compile(r"[~ ]?\\(?:label|index|vspace|hspace|cite[pt]?|ref|eqref|pageref|footnotemark)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}")
-_LATEX_ARG = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
+_LATEX_BRACE = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|[{}\n]")
 _LATEX_SPACE = re.compile(r"(?<=\w)\\[,;:!](?=[^\s\\])|(?<=\w)~(?=\\?\w)")
 _LATEX_ANY = re.compile(
     r"(?<![\w:\\/])\\(?:(?:begin|end|[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?)\{|item\b|\[(?=[^\n]*\\\])|\((?=[^\n]*\\\)))"
@@ -249,16 +267,35 @@ def from_latex(text: str) -> tuple[str, bool]:
     text = _LATEX_ENV.sub("", text)
     text = _LATEX_ITEM.sub(lambda m: f"{m[1]}- {m[2] + ' ' if m[2] else ''}", text)
     text = _LATEX_DROP.sub("", text)
-    for _ in range(4):
-        text, n = _LATEX_ARG.subn(r"\1", text)
-        if not n:
-            break
-    text = _LATEX_SPACE.sub(" ", text)
-    for _ in range(3):  # a formula may hold another one
-        text, n = _KEPT.subn(lambda m: formulas[int(m[1])] if int(m[1]) < len(formulas) else "", text)
-        if not n:
-            break
-    return text, True
+    text = _LATEX_SPACE.sub(" ", _arguments(text))
+    whole: list[str] = []  # a formula may hold earlier ones
+
+    def restored(m: re.Match) -> str:
+        return whole[int(m[1])] if int(m[1]) < len(whole) else ""
+
+    for formula in formulas:
+        whole.append(_KEPT.sub(restored, formula))
+    return _KEPT.sub(restored, text), True
+
+
+def _arguments(text: str) -> str:
+    """Commands with an argument on one line give the argument, however deeply nested."""
+    out: list[str] = []
+    open_: list[int] = []  # places of commands in the output, -1 for a brace of the text's own
+    at = 0
+    for m in _LATEX_BRACE.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m[0] == "\n":
+            open_.clear()
+        elif m[0] == "}":
+            if open_ and (k := open_.pop()) >= 0:
+                out[k] = ""
+                continue
+        else:
+            open_.append(len(out) if m[0] != "{" else -1)
+        out.append(m[0])
+    return "".join([*out, text[at:]])
 
 
 _WIKI_ANY = re.compile(
@@ -282,6 +319,25 @@ def _wiki_table(m: re.Match) -> str:
     return "\n".join(" | ".join(r) for r in [*rows, row] if r)
 
 
+def _without_templates(text: str) -> str:
+    """Templates on one line go, with those inside them and a blank before them."""
+    out: list[str] = []
+    open_: list[int] = []
+    at = 0
+    for m in re.finditer(r"[ \t]?\{\{|\}\}|\n", text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m[0] == "}}" and open_:
+            del out[open_.pop() :]
+            continue
+        if m[0] == "\n":
+            open_.clear()
+        elif m[0] != "}}":
+            open_.append(len(out))
+        out.append(m[0])
+    return "".join([*out, text[at:]])
+
+
 def from_wiki(text: str) -> tuple[str, bool]:
     if not any(x in text for x in ("[[", "{{", "''", "==", "{|", "|-", "[http", "<ref")) or not _WIKI_ANY.search(text):
         return text, False
@@ -289,10 +345,7 @@ def from_wiki(text: str) -> tuple[str, bool]:
     text = re.sub(r"\[\[(?:[Cc]ategory|[Ff]ile|[Ii]mage):[^\[\]\n]*\]\]", "", text)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[https?://\S+ ([^\]\n]+)\]", r"\1", text)
-    for _ in range(4):
-        text, n = re.subn(r"[ \t]?\{\{[^{}\n]*\}\}", "", text)
-        if not n:
-            break
+    text = _without_templates(text)
     text = re.sub(r"'{2,5}([^'\n]+?)'{2,5}", r"\1", text)
     text = re.sub(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], text, flags=re.M)
     text = re.sub(r"<ref[^>]*/>|<ref[^>]*>.*?</ref>", "", text, flags=re.S)

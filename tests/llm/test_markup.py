@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import dicts
-from sedgework.llm.markup import clean, clean_fields, main_subtree, parse_html
+from sedgework.llm.markup import clean, clean_fields, content_of, from_latex, from_wiki, parse_html
 
 
 @pytest.mark.parametrize(
@@ -51,7 +51,46 @@ def test_page_keeps_its_main_text():
     page = f"<html><head><title>t</title><style>s</style></head><body>{links}{body}<div>{'<a href=y>f</a> ' * 9}</div></body></html>"
     text = clean(page)[0]
     assert text.count("A long paragraph") == 8 and "menu" not in text
-    assert main_subtree(parse_html(page)).tag == "div"
+    assert content_of(parse_html(page))[0].tag == "div"
+
+
+def test_a_fragment_loses_its_menu_only():
+    menu = "<ul>" + "".join(f"<li><a href=x>go {i}</a></li>" for i in range(9)) + "</ul>"
+    prose = "<div class=note><p>A paragraph with <a href=y>a link</a> and many more words than that, to be read.</p></div>"
+    listed = "<ul><li>one thing</li><li>another <a href=z>thing</a></li></ul>"
+    text, kinds = clean("Before it all, some words.\n\n" + menu + prose + listed + "\nAfter it.")
+    assert kinds == ["html"] and "go " not in text
+    assert all(x in text for x in ("Before it all", "a link", "- one thing", "- another thing", "After it."))
+    root, left_out = content_of(parse_html(menu + prose))
+    assert root.tag == "#root" and len(left_out) > 0 and not content_of(parse_html(prose + listed))[1]
+
+
+def test_density_is_measured_wherever_there_is_html_and_nothing_but_menus_is_lost(spark):
+    import os
+    import re
+
+    data = "/root/testdata/sf0.01/parents.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no tables here")
+    through = 0
+    for (content,) in spark.read.parquet(data).select("content").where("content like '%<%'").collect():
+        if "html" not in clean(content)[1] or "```" in content:
+            continue
+        root = parse_html(content)
+        if root.tags:
+            through += 1
+            assert root.density > 0
+            words = re.findall(r"[^\W\d_]{4,}", re.sub(r"<[^>]*>|&\w+;|\[\[.*?\]\]|\{\{.*?\}\}|\]\([^)]*\)|\\\w+(\{\w*:[^}]*\})?", " ", content))
+            assert all(w in clean(content)[0] for w in words), content
+    assert through > 10
+
+
+def test_nesting_of_any_depth():
+    assert from_latex("\\emph{" * 5000 + "x" + "}" * 5000)[0] == "x"
+    assert from_latex("\\emph{a {b} \\textbf{c}} and \\emph{open\n{d}")[0] == "a {b} c and \\emph{open\n{d}"
+    assert from_wiki("a {{" + "x {{" * 3000 + "}} y" * 3000 + "}}b {{open\n")[0] == "ab {{open\n"
+    table = "<table><tr><td>" * 800 + "x" + "</td></tr></table>" * 800
+    assert clean(table)[0] == "x" and clean("<ul><li>" * 900 + "x")[0].endswith("- x")
 
 
 def test_deep_and_broken_pages():
