@@ -1,8 +1,9 @@
 """Noise in text from scanned pages: broken words, misread letters, page furniture.
 
-Lines are judged first: page numbers by their form, running headers by their form, by
-repetition in their file (digits masked), or because a short line interrupts a filled
-paragraph. Without those lines, words carried over a line end are joined; whether the
+Lines are judged first: page numbers by their form; running headers are lines at the
+edge of a page, by its number or where they break a sentence, that their file repeats
+(digits masked). A line that stands once is one only if it interrupts a filled
+paragraph in the form of a title. Without those lines, words carried over a line end are joined; whether the
 hyphen stays is decided by which form the corpus holds more often.
 
 Misread letters are found in the corpus' own vocabulary. A word's anagram hash is the
@@ -23,11 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.neardup import BitFilter, bit_filter
+from sedgework.llm.neardup import bit_filter
 from sedgework.session import checkpointed
 
 # What is read -> what stands on the page.
@@ -62,8 +64,8 @@ _WORD = re.compile(r"[@†$]?[A-Za-zÀ-ɏ0-9]+(?:[@!†$]+[A-Za-zÀ-ɏ0-9]+)*[@
 _COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 _SEAM = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t]*\r?\n[ \t]*([^\W\d_]+)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
+_HELD = re.compile("|".join(re.escape(x) for x, _ in PAIRS))
 _PAIRED = re.compile(f"[{''.join(x + y for x, y in CJK_PAIRS)}]")
-_HEXLIKE = re.compile(r"[0-9a-f]+|\d.*|.*\d\d.*|[A-Z]{1,3}\d+", re.S)
 _JOINED = re.compile(r"[/\\_=#:.~]")
 _NUMBERED = re.compile(r"-\d")
 
@@ -79,11 +81,11 @@ class Line:
 
 
 def _shape(s: str) -> str:
-    """``strong`` for a title with an identifying part, ``weak`` for a mere title, else empty."""
-    if len(s) > 110 or len(s) < 3 or _STOP.search(s) or re.search(r"[.!?。]\s+\S*[^\W\d_]{2}", re.sub(r"\b(?:Rev|No|Nr)\.", "", s)):
+    """``strong`` for a title with an identifying part, ``weak`` for a mere title, ``other`` for what may be one if repeated, else empty."""
+    if len(s) < 3 or _STOP.search(s) or re.search(r"[.!?。]\s+\S*[^\W\d_]{2}", re.sub(r"\b(?:Rev|No|Nr)\.", "", s)):
         return ""
     parts = [p.strip() for p in _PARTS.split(s) if p.strip()]
-    if len(parts) > 1 and any(_IDS.match(p) for p in parts) and len(parts) <= 6:
+    if len(parts) > 1 and any(_IDS.match(p) for p in parts):
         title = max((p for p in parts if not _IDS.match(p)), key=len, default="")
         if title[:1].isupper() or ord(title[:1] or "a") > 0x2FFF or parts[0].startswith("Draft"):
             return "strong"
@@ -92,7 +94,7 @@ def _shape(s: str) -> str:
     first = s[0]
     if len(s) <= 64 and not re.search(r"\d", s) and (first.isupper() or ord(first) > 0x2FFF) and len(s.split()) <= 9 and not re.search(r"[。，、；：;]", s):
         return "weak"
-    return ""
+    return "other"
 
 
 def judge(text: str, heading: bool = False) -> list[Line]:
@@ -141,7 +143,8 @@ def judge(text: str, heading: bool = False) -> list[Line]:
         elif shape == "weak" and broken and room and (lower or capitals):
             out[i].kind = "header"
         elif inside or beside or before or after:
-            out[i].kind = "perhaps" if shape == "strong" or inside or beside else "text"
+            edge = beside or (inside and (broken or shape != "other"))  # of a page: by its number or where it breaks a sentence
+            out[i].kind = "perhaps" if shape == "strong" or edge else "text"
     return out
 
 
@@ -174,37 +177,6 @@ def words_of(token: str) -> Iterator[str]:
                     yield chars[i : i + 2]
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of a task, combined before the shuffle and passed on whenever many tokens have gathered."""
-    tokens: Counter[str] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        counts: Counter[str] = Counter()
-        for token, n in tokens.items():
-            for w in words_of(token):
-                counts[w] += n
-            if "-" in token:
-                for m in _COMPOUND.finditer(token):
-                    counts[m[0]] += n
-        tokens.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-        )
-
-    for batch in batches:
-        for text, heading in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tokens.update(joined(flowing(judge(text, heading))).lower().split())
-            if len(tokens) > 200_000:
-                yield flush()
-    yield flush()
-
-
-def vocabulary(records: DataFrame) -> DataFrame:
-    """``word, n`` over all records."""
-    rows = records.where("text is not null").select("text", "heading").mapInArrow(_vocabulary, "word string, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def _anagram(c: str) -> F.Column:
     """Sum of the characters' hashes; each is under 2^50, so that a sum cannot overflow."""
     return F.expr(f"aggregate(split({c}, ''), 0L, (a, x) -> a + pmod(xxhash64(x), {1 << 50}))")
@@ -242,26 +214,12 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[[reaches(b, g) for b, g in zip(pdf["bad"], pdf["good"])]]
 
 
-def _embedded(word: str) -> str | None:
-    """The letters of a word with one misread digit or mark between letters, whatever the vocabulary holds."""
-    odd = [c for c in word if not c.isalpha()]
-    if len(odd) != 1 or len(word) < 5 or _HEXLIKE.fullmatch(word) or not (word[0].isalpha() or word[0] in "@†"):
-        return None
-    if odd[0].isdigit() and not (0 < word.find(odd[0]) < len(word) - 1):
-        return None
-    for x, y in LATIN_PAIRS:
-        if x == odd[0]:
-            return word.replace(x, y)
-    return None
-
-
 def corrections(words: DataFrame) -> DataFrame:
     """``bad, good``: rare words and the frequent ones they are misread from.
 
     The join is on the anagram hash: a rare word, moved by the difference of each
     confusable pair that it holds, or of two such pairs, meets the words of exactly
-    that hash. A word with one misread digit or mark between its letters is bad even
-    if its right form is not frequent.
+    that hash.
     """
     deltas = _differences()
     listed = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(d).alias("d")) for (x, _), d in deltas.items()))
@@ -278,55 +236,121 @@ def corrections(words: DataFrame) -> DataFrame:
     met = rare.join(frequent, "h").where((F.col("many") >= RATIO * F.col("few")) & (F.col("bad") != F.col("good")))
     met = met.select("bad", "good", "many").mapInPandas(_verified, "bad string, good string, many long")
 
-    def embedded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(w, g, 0) for w in pdf["word"] if (g := _embedded(w))]
-            yield pd.DataFrame(rows, columns=["bad", "good", "many"])
+    return met.groupBy("bad").agg(F.max(F.struct("many", "good")).alias("m")).select("bad", "m.good")
+
 
-    alone = words.where(F.col("word").rlike(r"[a-zà-ɏ][0-9@!†$]|[@†$][a-zà-ɏ]")).select("word")
-    alone = alone.mapInPandas(embedded, "bad string, good string, many long")
-    return met.union(alone).groupBy("bad").agg(F.max(F.struct("many", "good")).alias("m")).select("bad", "m.good")
+_TYPES = {"kind": pa.string(), "id": pa.string(), "what": pa.string(), "word": pa.string(), "file": pa.string(), "n": pa.int64(), "words": pa.list_(pa.string())}
+_SCHEMA = "kind string, id string, what string, word string, file string, n long, words array<string>"
 
 
-def _observed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``kind, id, what, word, file, line``: sure defects, joined words, words that may be bad, lines that may be headers."""
-    bad: BitFilter | None = shared.value
+def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that is seen of the records in one pass.
+
+    Rows of a record: sure defects, joined words (``seam``), lines that are or may be
+    headers with their line in the file (``line``), and its words that hold a part
+    which may be misread (``words``). Rows of a task: counts of its words (``count``),
+    combined before the shuffle and passed on whenever many tokens have gathered.
+    """
+    tokens: Counter[str] = Counter()
     known: dict[str, tuple[str, ...]] = {}
+    out: dict[str, list] = {}
+
+    def put(**row: object) -> None:
+        for name in _TYPES:
+            out[name].append(row.get(name))
 
-    def may_be_bad(token: str) -> tuple[str, ...]:
+    def batch_of() -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.array(out[name], t) for name, t in _TYPES.items()], list(_TYPES))
+        out.update({name: [] for name in _TYPES})
+        return rows
+
+    def count() -> None:
+        counts: Counter[str] = Counter()
+        for token, n in tokens.items():
+            for w in words_of(token):
+                counts[w] += n
+            if "-" in token:
+                for m in _COMPOUND.finditer(token):
+                    counts[m[0]] += n
+        tokens.clear()
+        for w, n in counts.items():
+            put(what="count", word=w, n=n)
+
+    def may_be_misread(token: str) -> tuple[str, ...]:
         k = known.get(token)
         if k is None:
             if len(known) > 500_000:
                 known.clear()
-            k = known[token] = tuple(w for w in words_of(token) if bad is None or w in bad)
+            k = known[token] = tuple(w for w in words_of(token) if _HELD.search(w))
         return k
 
+    out.update({name: [] for name in _TYPES})
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-
-        def put(*row: object) -> None:
-            for column, value in zip(out, row):
-                column.append(value)
-
         for kind, id_, file, start, text, heading in zip(*(batch.column(i).to_pylist() for i in range(6))):
             lines = judge(text, heading)
             kinds = {x.kind for x in lines}
             for what in kinds & {"pageno", "header"}:
-                put(kind, id_, what, None, None, None)
+                put(kind=kind, id=id_, what=what)
             if kinds & {"perhaps", "header"}:
                 for i, x in enumerate(lines):
                     if x.kind in ("perhaps", "header"):
-                        put(kind, id_, "line", masked(x.text), file, (start or 0) + i)
+                        put(kind=kind, id=id_, what="line", word=masked(x.text), file=file, n=(start or 0) + i)
             flow = flowing(lines)
             if _BROKEN.search(flow):
-                put(kind, id_, "hyphen", None, None, None)
+                put(kind=kind, id=id_, what="hyphen")
                 for m in _SEAM.finditer(flow):
-                    put(kind, id_, "seam", f"{m[1]}-{m[2]}".lower(), None, None)
+                    put(kind=kind, id=id_, what="seam", word=f"{m[1]}-{m[2]}".lower())
                 flow = joined(flow)
-            for w in {w for token in set(flow.lower().split()) for w in may_be_bad(token)}:
-                put(kind, id_, "word", w, None, None)
-        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["kind", "id", "what", "word", "file", "line"])
+            own = flow.lower().split()
+            tokens.update(own)
+            if words := {w for token in set(own) for w in may_be_misread(token)}:
+                put(kind=kind, id=id_, what="words", words=list(words))
+            if len(tokens) > 200_000:
+                count()
+        yield batch_of()
+    count()
+    yield batch_of()
+
+
+def observed(records: DataFrame) -> DataFrame:
+    """What :func:`_observed` sees of all records with text and id, written once."""
+    rows = records.where("text is not null and id is not null").select("kind", "id", "file", "line", "text", "heading")
+    return checkpointed(rows.mapInArrow(_observed, _SCHEMA))
+
+
+def vocabulary(seen: DataFrame) -> DataFrame:
+    """``word, n`` over all records."""
+    return seen.where("what = 'count'").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def misread(seen: DataFrame, bad: DataFrame) -> DataFrame:
+    """``kind, id, bad, good``: the words of each record that have a correction.
+
+    Most words are sorted out by a bitmap over the bad ones before they are shuffled;
+    if those are too many for one, all are joined.
+    """
+    rows = seen.where("what = 'words'").select("kind", "id", "words")
+    marked = bit_filter(bad, "bad")
+    if marked is not None:
+        shared = rows.sparkSession.sparkContext.broadcast(marked)  # 2 MB at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            there = shared.value
+            for batch in batches:
+                words = batch.column(2)
+                coded = pc.dictionary_encode(words.flatten())
+                may = np.fromiter((w in there for w in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+                keep = may[coded.indices.to_numpy(zero_copy_only=False)]
+                owner = pc.list_parent_indices(words).to_numpy()[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), words.flatten().filter(pa.array(keep))],
+                    ["kind", "id", "bad"],
+                )
+
+        met = rows.mapInArrow(run, "kind string, id string, bad string")
+    else:
+        met = rows.select("kind", "id", F.explode("words").alias("bad"))
+    return met.join(bad, "bad")
 
 
 def repeated_lines(observed: DataFrame) -> DataFrame:
@@ -334,15 +358,14 @@ def repeated_lines(observed: DataFrame) -> DataFrame:
 
     Places are line numbers of the file, so a section and its blocks count once.
     """
-    lines = observed.where("what = 'line'").groupBy("file", "word").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+    lines = observed.where("what = 'line'").groupBy("file", "word").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     return lines.where("hi > lo").select("file", "word")
 
 
-def _observations(records: DataFrame, bad: DataFrame) -> DataFrame:
-    shared = records.sparkSession.sparkContext.broadcast(bit_filter(bad, "bad"))  # 2 MB at most
-    rows = records.where("text is not null and id is not null").select("kind", "id", "file", "line", "text", "heading")
-    schema = "kind string, id string, what string, word string, file string, line long"
-    return rows.mapInArrow(lambda b: _observed(shared, b), schema)
+def _repeated_headers(seen: DataFrame) -> DataFrame:
+    again = repeated_lines(seen)
+    lines = seen.where("what = 'line'")
+    return lines.join(again, lines.file.eqNullSafe(again.file) & (lines.word == again.word), "left_semi")
 
 
 def defects(records: DataFrame) -> DataFrame:
@@ -353,15 +376,11 @@ def defects(records: DataFrame) -> DataFrame:
     first line in the file. Null texts and ids have no defects, empty texts none,
     repeated rows count once; without a file's name lines repeat within the null file.
     """
-    bad = checkpointed(corrections(checkpointed(vocabulary(records))))
-    seen = checkpointed(_observations(records, bad))
+    seen = observed(records)
+    bad = checkpointed(corrections(checkpointed(vocabulary(seen))))
     sure = seen.where("what in ('pageno', 'header', 'hyphen')").select("kind", "id", F.col("what").alias("defect"))
-    again = repeated_lines(seen)
-    lines = seen.where("what = 'line'")
-    headers = lines.join(again, lines.file.eqNullSafe(again.file) & (lines.word == again.word), "left_semi")
-    chars = seen.where("what = 'word'").join(bad.select(F.col("bad").alias("word")), "word", "left_semi")
-    rows = sure.union(headers.select("kind", "id", F.lit("header"))).union(chars.select("kind", "id", F.lit("chars")))
-    return rows.distinct()
+    headers = _repeated_headers(seen).select("kind", "id", F.lit("header"))
+    return sure.union(headers).union(misread(seen, bad).select("kind", "id", F.lit("chars"))).distinct()
 
 
 def repaired(records: DataFrame) -> DataFrame:
@@ -372,13 +391,11 @@ def repaired(records: DataFrame) -> DataFrame:
     page are joined; headings, lists, tables and code keep their lines. Records
     without a defect are not repeated here; of repeated rows one counts.
     """
-    words = checkpointed(vocabulary(records))
+    seen = observed(records)
+    words = checkpointed(vocabulary(seen))
     bad = checkpointed(corrections(words))
-    seen = checkpointed(_observations(records, bad))
-    again = repeated_lines(seen)
-    lines = seen.where("what = 'line'")
-    headers = lines.join(again, lines.file.eqNullSafe(again.file) & (lines.word == again.word), "left_semi")
-    fixes = seen.where("what = 'word'").join(bad.withColumnRenamed("bad", "word"), "word")
+    headers = _repeated_headers(seen)
+    fixes = misread(seen, bad)
     seams = seen.where("what = 'seam'").select("kind", "id", "word").distinct()
     solid = words.select(F.col("word").alias("_solid"), F.col("n").alias("solid"))
     kept = (
@@ -390,7 +407,7 @@ def repaired(records: DataFrame) -> DataFrame:
         seen.where("what in ('pageno', 'header', 'hyphen')").select("kind", "id", F.lit("").alias("a"), F.lit("").alias("b"))
         .union(headers.select("kind", "id", F.lit("line"), "word"))
         .union(kept.select("kind", "id", F.lit("seam"), "word"))
-        .union(fixes.select("kind", "id", F.concat(F.lit("word:"), "word"), "good"))
+        .union(fixes.select("kind", "id", F.concat(F.lit("word:"), "bad"), "good"))
         .groupBy("kind", "id")
         .agg(F.collect_set(F.struct("a", "b")).alias("notes"))
     )
