@@ -27,6 +27,14 @@ class Summary:
     duration_ms: int = field(default=0, compare=False)
 
 
+def decisions(seen: DataFrame, files: DataFrame, embed: bool = True) -> DataFrame:
+    """``path, decision`` of ``seen(path, hash)``: ``add`` if the path is new, ``skip`` if nothing is to be done, else ``reindex``."""
+    todo = changed(seen.select("path", "hash"), files, embed=embed).select("path", F.lit(True).alias("_todo"))
+    known = files.select("path", F.lit(True).alias("_known")).distinct()
+    rows = seen.where("hash is not null").join(todo, "path", "left").join(known, "path", "left")
+    return rows.select("path", F.when(F.col("_known").isNull(), "add").when(F.col("_todo"), "reindex").otherwise("skip").alias("decision"))
+
+
 def changed(read: DataFrame, files: DataFrame, force: bool = False, embed: bool = True) -> DataFrame:
     """Rows to index: all if forced, else those whose hash differs or, in a run that embeds, that are not embedded. Unreadable files are skipped."""
     read = read.where("hash is not null")
@@ -46,7 +54,7 @@ def stored_paths(listing: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(known, "real", "left").withColumn("path", F.coalesce("_stored", "path")).drop("_stored")
 
 
-def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None, now: str, force: bool = False, read_pdf=None, ocr=None, progress=None) -> Summary:
+def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None, now: str, force: bool = False, read_pdf=None, ocr=None, progress=None, model: str | None = None) -> Summary:
     """One run over ``listing(path, real, size)``.
 
     Everything is read and embedded before the index changes, in one commit. A
@@ -55,7 +63,8 @@ def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None
     after each of the stages read, chunk, embed and commit.
 
     A file counts as embedded only if each of its chunks has a vector. Without an
-    embedder none does: the next run that has one takes these files again.
+    embedder none does: the next run that has one takes these files again. ``model``
+    is the name of what the embedder asks; it is kept with the index.
     """
     told = progress or (lambda stage, rows: None)
     began = time.monotonic()
@@ -81,9 +90,10 @@ def index_files(store: IndexStore, listing: DataFrame, embedder: Embedder | None
     files = rows.select("path", "hash", "chunks", F.lit(now).alias("indexed"), "size", embedded.alias("embedded"))
     files = checkpointed(files)
     done = files.count()
+    values = {"last_build": now} | ({"embedding_model": model} if model and embedder else {})
     if done:
-        store.replace_files(files, parents, chunks, vectors)
-    if seen:  # a run that finds nothing changed makes the index fresh, too
+        store.replace_files(files, parents, chunks, vectors, values)
+    elif seen:  # a run that finds nothing changed makes the index fresh, too
         store.set_value("last_build", now)
     told("commit", done)
     return Summary(done, made, seen - done, round((time.monotonic() - began) * 1000))
@@ -100,7 +110,7 @@ def still_there(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(run, "path string, real string, size long")
 
 
-def rebuild(store: IndexStore, listing: DataFrame, embedder: Embedder | None, now: str, force: bool = False) -> Summary:
+def rebuild(store: IndexStore, listing: DataFrame, embedder: Embedder | None, now: str, force: bool = False, model: str | None = None) -> Summary:
     """Files that neither are listed nor exist go; the others are embedded again if there is an embedder, or read as new if forced."""
     listing = checkpointed(listing.unionByName(still_there(store.table("files"))).dropDuplicates(["path"]))
     if force:
@@ -108,7 +118,7 @@ def rebuild(store: IndexStore, listing: DataFrame, embedder: Embedder | None, no
     else:
         store.prune(listing)
         store.commit(files=store.table("files").withColumn("embedded", F.lit(False)))
-    return index_files(store, listing, embedder, now, force=True)
+    return index_files(store, listing, embedder, now, force=True, model=model)
 
 
 def stats(store: IndexStore) -> DataFrame:

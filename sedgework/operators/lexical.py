@@ -1,9 +1,10 @@
 """Substring BM25 over several columns, for one query or a batch.
 
-All terms of the batch are one automaton that each text passes once, so the cost of
-a text does not grow with the number of queries. A task gives back the rows that hold
-every term of a query, and counts for the statistics; texts are never shuffled.
-Batches are taken in blocks of bounded size.
+All terms of the batch are one automaton that each text passes once to be counted and
+once to be scored, so the cost of a text does not grow with the number of queries. The
+first pass gives back counts per term and task, the second scores rows where they are
+read and gives back a task's best ``limit`` of each query; texts and hits beyond those
+are neither written nor shuffled. Batches are taken in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -11,16 +12,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgework.functions.text import trigrams
 
 WEIGHTS = (1.0, 0.5, 1.5)
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS, BLOCK_QUERIES = 4 << 20, 2000
 
 
 def query_terms(text: str | None) -> list[str]:
@@ -36,7 +36,7 @@ def _blocks(queries: list[tuple]) -> Iterator[list[tuple]]:
     block: list[tuple] = []
     size = 0
     for q in queries:
-        if block and size + len(q[1] or "") > BLOCK_CHARS:
+        if block and (size + len(q[1] or "") > BLOCK_CHARS or len(block) == BLOCK_QUERIES):
             yield block
             block, size = [], 0
         block.append(q)
@@ -45,30 +45,48 @@ def _blocks(queries: list[tuple]) -> Iterator[list[tuple]]:
         yield block
 
 
-def _matcher(block: list[tuple[int, list[str]]], weights: Sequence[float], every: bool):
-    """Arrow function: rows ``query, id, f (array), length`` for hits, and ``term, n`` counts with null query.
+def _automaton(terms: Sequence[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for i, t in enumerate(terms):
+        automaton.add_word(t, i)
+    automaton.make_automaton()
+    return automaton
+
+
+def _counter(terms: list[str], searched: list[int]):
+    """Arrow function: ``term, n``, the number of rows of the task that hold each term in one of the searched columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, seen = _automaton(terms), Counter()
+        for batch in batches:
+            for texts in zip(*(batch.column(2 + c).to_pylist() for c in searched)):
+                seen.update({t for text in texts if text for _, t in automaton.iter(text)})
+        yield pa.RecordBatch.from_arrays([pa.array([terms[t] for t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+    return run
+
+
+def _scorer(block: list[tuple[int, list[str]]], terms: list[str], idf: dict[str, float], weights: Sequence[float], every: bool, mean: float, limit: int):
+    """Arrow function: ``query_id, id, score`` of the task's best rows of each query.
 
     Columns of weight 0 are not searched. A query is tried on a row only if the row
     holds its longest term, or any of its terms if not ``every`` one is needed.
     """
-    terms = sorted({t for _, ts in block for t in ts})
     number = {t: i for i, t in enumerate(terms)}
-    wanted = [(q, [number[t] for t in ts]) for q, ts in block]
-    first: dict[int, list[tuple[int, list[int]]]] = {}
-    for q, ts in wanted:
-        for t in {max(ts, key=lambda t: len(terms[t]))} if every else set(ts):
-            first.setdefault(t, []).append((q, ts))
+    wanted = [(q, [(number[t], idf[t]) for t in ts]) for q, ts in block]
+    first: dict[int, list[int]] = {}
+    for k, (_, ts) in enumerate(wanted):
+        for t in {max(ts, key=lambda t: len(terms[t[0]]))} if every else set(ts):
+            first.setdefault(t[0], []).append(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            automaton.add_word(t, i)
-        automaton.make_automaton()
+        automaton = _automaton(terms)
+        best: dict[int, list[tuple[float, object]]] = {}
+        kind = None
         for batch in batches:
-            seen: Counter[int] = Counter()
-            hits: list[list] = [[], [], [], []]
+            kind = batch.schema.field(0).type
             ids, length = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             columns = [batch.column(2 + c).to_pylist() if w else [] for c, w in enumerate(weights)]
             for i, id_ in enumerate(ids):
@@ -77,24 +95,24 @@ def _matcher(block: list[tuple[int, list[str]]], weights: Sequence[float], every
                     if column and column[i]:
                         for _, t in automaton.iter(column[i]):
                             f[t] = f.get(t, 0.0) + weight
-                seen.update(f.keys())
-                for q, ts in {q: ts for t in f for q, ts in first.get(t, ())}.items():
-                    if not every or all(u in f for u in ts):
-                        for out, x in zip(hits, (q, id_, [f.get(u, 0.0) for u in ts], float(length[i]))):
-                            out.append(x)
-            n = len(hits[0])
-            m = len(seen)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*hits[0], *[None] * m], pa.int64()),
-                    pa.array([*hits[1], *[None] * m], batch.schema.field(0).type),
-                    pa.array([*hits[2], *[None] * m], pa.list_(pa.float64())),
-                    pa.array([*hits[3], *[None] * m], pa.float64()),
-                    pa.array([*[None] * n, *(terms[t] for t in seen)], pa.string()),
-                    pa.array([*[None] * n, *seen.values()], pa.int64()),
-                ],
-                ["query_id", "id", "f", "length", "term", "n"],
-            )
+                saturation = K1 * (1 - B + B * length[i] / (mean or 1.0))
+                for k in {k for t in f for k in first.get(t, ())}:
+                    ts = wanted[k][1]
+                    if every and not all(t in f for t, _ in ts):
+                        continue
+                    score = 0.0
+                    for t, w in ts:
+                        n = f.get(t, 0.0)
+                        score += w * n * (K1 + 1) / (n + saturation)
+                    own = best.setdefault(k, [])
+                    own.append((-score, id_))
+                    if len(own) > 2 * limit + 16:
+                        own.sort()
+                        del own[limit:]
+        if kind is not None:
+            rows = [(wanted[k][0], id_, score) for k, own in best.items() for score, id_ in sorted(own)[:limit]]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), kind, pa.float64()))], ["query_id", "id", "score"])
 
     return run
 
@@ -115,7 +133,7 @@ def bm25(
 ) -> DataFrame:
     """``query_id, id, score, bm25_rank``: the ``limit`` best rows of each query.
 
-    ``docs`` has ``id`` (unique) and the text columns ``content``, ``path`` and
+    ``docs`` has ``id`` (unique; a null one is never found) and the text columns ``content``, ``path`` and
     ``metadata``, weighted 1, 0.5 and 1.5. A row counts if every term (or any, if
     not ``every``) stands in some column of it, as a substring and ignoring case; a
     weight of 0 leaves a column out of the search, though not out of the lengths. Scores are negative, the lowest is the best; ties go to the
@@ -134,37 +152,20 @@ def bm25(
     rows = docs.select("id", length.alias("length"), *(F.lower(c).alias(c) for c in columns))
     total, chars = docs.agg(F.count("*"), F.sum(length)).first()
     mean = (chars or 0) / total if total else 0.0
-    out = None
+    out = spark.createDataFrame([], f"query_id long, id {kind}, score double")
     for block in _blocks([(q, " ".join(ts)) for q, ts in parsed]):
         chosen = [(q, t.split(" ")) for q, t in block]
-        found = rows.mapInArrow(_matcher(chosen, weights, every), f"query_id long, id {kind}, f array<double>, length double, term string, n long")
-        from sedgework.session import checkpointed
-
-        found = checkpointed(found)
-        counts = dict(found.where("query_id is null").groupBy("term").agg(F.sum("n")).collect())  # one per term of the batch
-        idf = spark.createDataFrame(
-            [(q, [_idf(total, counts.get(t, 0)) for t in ts]) for q, ts in chosen], "query_id long, idf array<double>"
-        )
-        hits = found.where("query_id is not null").join(idf, "query_id")
-        scored = hits.select("query_id", "id", _score(mean).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
+        terms = sorted({t for _, ts in chosen for t in ts})
+        searched = [c for c, w in enumerate(weights) if w]
+        counted = rows.mapInArrow(_counter(terms, searched), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = dict(counted.collect())  # one per term of the block
+        idf = {t: _idf(total, counts.get(t, 0)) for t in terms}
+        best = _scorer(chosen, terms, idf, weights, every, mean, limit)
+        out = out.unionByName(rows.where("id is not null").mapInArrow(best, f"query_id long, id {kind}, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return out.withColumn("bm25_rank", rank).where(F.col("bm25_rank") <= limit).select("query_id", "id", "score", "bm25_rank")
 
 
-def _score(mean: float) -> Column:
-    saturation = K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
-    parts = F.zip_with("f", "idf", lambda f, w: w * f * (K1 + 1) / (f + saturation))
-    return -F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-
-
 def metadata_hits(docs: DataFrame, queries: Sequence[tuple[int, str | None]] | DataFrame, limit: int = 1000) -> DataFrame:
     """As :func:`bm25`, for rows whose metadata hold any of the terms. A quotation mark in a term is an ordinary character."""
     return bm25(docs, queries, limit, (0.0, 0.0, WEIGHTS[2]), every=False)
-
-
-def plain_matches(docs: pd.DataFrame, query: str) -> list:
-    """Ids that hold all terms, by plain search: for tests."""
-    ts = query_terms(query)
-    low = [[(x or "").lower() for x in row] for row in docs[["content", "path", "metadata"]].itertuples(index=False)]
-    return [i for i, row in zip(docs["id"], low) if ts and all(any(t in c for c in row) for t in ts)]

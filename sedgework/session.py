@@ -1,4 +1,4 @@
-"""Session helpers: tables, shared checkpoints, fixed-size broadcast filters."""
+"""Session helpers: tables and shared checkpoints."""
 
 from __future__ import annotations
 
@@ -17,14 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
-    no folder was set on the context, as in tests, a temporary one is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, no
+    folder was set on the context and the master is this process, a temporary one is
+    made; on a cluster that is an error, as executors would not share it.
     """
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="sedgework-checkpoints-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -33,6 +36,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; its lineage is cut."""
+    """``df`` computed once and written to the shared folder; its lineage is cut.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes the files
+    when nothing refers to them any more.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

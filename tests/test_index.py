@@ -285,3 +285,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert out("exclude", "*.tmp")["exclude_patterns"] == ["*.tmp"] and out("off")["enabled"] is False
     out("clear")
     assert out("status")[0]["total_files"] == 0
+
+
+def test_of_two_writers_one_fails_and_nothing_is_lost(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    store.set_value("a", "1")
+    base = store.version()
+    store.set_value("b", "2")
+    with pytest.raises(RuntimeError):
+        store.commit(base, meta=spark.createDataFrame([("c", "3")], "key string, value string"))
+    assert store.value("a") == "1" and store.value("b") == "2" and store.value("c") is None
+
+
+def test_a_run_rewrites_only_the_buckets_of_its_files(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    chunk = "id string, file_path string, chunk_content string, line_start int, line_end int, chunk_hash string, indexed_at string, tokens int, parent_id string"
+    rows = lambda paths, text: spark.createDataFrame([(f"{p}-1", p, text, 1, 1, "h", "t", 1, None) for p in paths], chunk)
+    files = lambda paths: spark.createDataFrame([(p, "h", 1, "t", 1, True) for p in paths], "path string, hash string, chunks int, indexed string, size long, embedded boolean")
+    none = store.table("parents")
+    paths = [f"/f{i}.md" for i in range(40)]
+    store.replace_files(files(paths), none, rows(paths, "old"))
+    before = set(store._snapshot()["chunks"])
+    store.replace_files(files(["/f7.md"]), none, rows(["/f7.md"], "new"), values={"last_build": "now"})
+    after = set(store._snapshot()["chunks"])
+    assert len(before - after) == 1 == len(after - before) and store.value("last_build") == "now"
+    assert {r["file_path"]: r["chunk_content"] for r in dicts(store.table("chunks"))} == {p: "new" if p == "/f7.md" else "old" for p in paths}
+    assert store.vacuum() >= 1
+    assert store.table("chunks").count() == 40
+
+
+def test_rows_of_files_are_replaced_deleted_and_flagged(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    schema = "path string, hash string, chunks int, indexed string, size long, embedded boolean, metadata string"
+    store.commit(files=spark.createDataFrame([("/a", "x", 1, "t", 1, True, "tag"), ("/b", "x", 1, "t", 1, False, "tag")], schema))
+    store.replace_rows(spark.createDataFrame([("/a", "y", 1, "t", 1, True)], schema.rsplit(", ", 1)[0]))
+    store.set_embedded(spark.createDataFrame([("/b",), ("/none",)], "path string"), True)
+    assert {r["path"]: (r["hash"], r["metadata"], r["embedded"]) for r in dicts(store.table("files"))} == {"/a": ("y", None, True), "/b": ("x", "tag", True)}
+    store.delete_files(spark.createDataFrame([("/a",)], "path string"))
+    assert [r["path"] for r in dicts(store.table("files"))] == ["/b"]

@@ -134,4 +134,20 @@ def test_empty_tables(spark):
 def test_plans_keep_texts_out_of_shuffles(spark):
     d = docs(spark, "alpha")
     plan = lexical.bm25(d, [(0, "alpha")], 5)._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan and "CartesianProduct" not in plan
+    above = plan.split("MapInArrow")[0]  # what is made of the rows of the tasks
+    assert "Exchange" in above and "content" not in above and "CartesianProduct" not in plan
+
+
+def test_a_task_keeps_its_best_rows_only(spark):
+    d = docs(spark, *(f"alpha {'beta ' * (i % 7)}" for i in range(300))).coalesce(1)
+    kept = lexical.bm25(d, [(0, "alpha beta"), (1, "alpha")], 3)
+    assert [(r["query_id"], r["bm25_rank"]) for r in sorted(dicts(kept), key=lambda r: (r["query_id"], r["bm25_rank"]))] == [(q, k) for q in (0, 1) for k in (1, 2, 3)]
+    every = lexical.bm25(d, [(0, "alpha beta"), (1, "alpha")], 1000)
+    want = {(r["query_id"], r["bm25_rank"]): (r["id"], round(r["score"], 9)) for r in dicts(every)}
+    assert all(want[r["query_id"], r["bm25_rank"]] == (r["id"], round(r["score"], 9)) for r in dicts(kept))
+
+
+def test_vectors_without_names_and_docs_without_ids_are_not_found(spark):
+    vs = spark.createDataFrame([(None, [1.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert [r["id"] for r in sorted(dicts(vector.nearest(vs, asked, 2)), key=lambda r: r["vec_rank"])] == ["a", "b"]
