@@ -1,8 +1,10 @@
-"""Command line: index, search, status, coverage, mdsync, meta, clear, config.
+"""Command line: index, search, status, coverage, mdsync, auto, meta, seed, clear, config.
 
 Runs embed through the server that ``SEDGEWORK_EMBED_URL`` names, with
 ``SEDGEWORK_EMBED_MODEL`` and ``SEDGEWORK_EMBED_DIMENSIONS``; without it they index
-for BM25 only, and the first run with it embeds what is missing.
+for BM25 only, and the first run with it embeds what is missing. Searches ask the same
+server for the query's vector and, if ``SEDGEWORK_RERANK_URL`` is set, that one for
+scores.
 """
 
 from __future__ import annotations
@@ -11,10 +13,10 @@ import argparse
 import datetime
 import json
 import os
+import subprocess
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -29,9 +31,11 @@ def _parser() -> argparse.ArgumentParser:
     c = sub.add_parser("search")
     c.add_argument("query")
     c.add_argument("--limit", type=int, default=10)
+    c.add_argument("--bm25", action="store_true", help="words only")
+    c.add_argument("--rerank", action="store_true")
     c = sub.add_parser("find")
     c.add_argument("pattern")
-    for name in ("coverage", "mdsync"):
+    for name in ("coverage", "mdsync", "auto", "seed"):
         sub.add_parser(name).add_argument("--dir", default=".")
     c = sub.add_parser("meta")
     c.add_argument("path", nargs="?")
@@ -45,19 +49,38 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _model() -> str:
+    return os.environ.get("SEDGEWORK_EMBED_MODEL", "qwen3-embedding-4b")
+
+
 def _embedder():
     from sedgework.operators.embedding import http_embedder
 
-    url, get = os.environ.get("SEDGEWORK_EMBED_URL"), os.environ.get
-    return http_embedder(url, get("SEDGEWORK_EMBED_MODEL", "qwen3-embedding-4b"), int(get("SEDGEWORK_EMBED_DIMENSIONS", "1024"))) if url else None
+    url = os.environ.get("SEDGEWORK_EMBED_URL")
+    return http_embedder(url, _model(), int(os.environ.get("SEDGEWORK_EMBED_DIMENSIONS", "1024"))) if url else None
+
+
+def _scorer():
+    from sedgework.operators.embedding import http_scorer
+
+    url = os.environ.get("SEDGEWORK_RERANK_URL")
+    return http_scorer(url, os.environ.get("SEDGEWORK_RERANK_MODEL", "qwen3-reranker-0.6b")) if url else None
+
+
+def _converter(document: str, target: str) -> tuple[bool, str]:
+    """``pandoc``, if there is one."""
+    try:
+        done = subprocess.run(["pandoc", document, "-t", "gfm", "-o", target], capture_output=True, text=True, timeout=600)
+        return done.returncode == 0, done.stderr
+    except OSError as e:
+        return False, str(e)
 
 
 def main(argv: list[str] | None = None) -> int:
-    from sedgework.operators import completion, fusion, indexing
+    from sedgework.operators import completion, indexing, metadata, tools
     from sedgework.operators.store import IndexStore
     from sedgework.sources.config import Config, index_directory
     from sedgework.sources.files import collect_files, resolve_extensions
-    from sedgework.sources.ignore import compile_patterns
 
     args = _parser().parse_args(argv)
     home = index_directory(args.store)
@@ -81,21 +104,25 @@ def main(argv: list[str] | None = None) -> int:
                 config.tracked_paths.append(path)
         config.save(home / "config.json")
         run = indexing.rebuild if args.command == "rebuild" else indexing.index_files
-        return show(vars(run(store, listing(), _embedder(), now, force=getattr(args, "force", False))))
+        return show(vars(run(store, listing(), _embedder(), now, force=getattr(args, "force", False), model=_model())))
     if args.command == "search":
-        docs = store.table("chunks").join(store.table("files").select("path", "metadata"), F.col("file_path") == F.col("path"), "left")
-        docs = docs.select("id", F.col("chunk_content").alias("content"), F.col("file_path").alias("path"), "metadata", "parent_id")
-        asked = spark.createDataFrame([(0, args.query)], "query_id long, query_text string")
-        found = fusion.hybrid_search(docs, asked, limit=args.limit, alpha=config.alpha, parents=store.table("parents"))
-        return show(found.drop("query_id").orderBy("place"))
+        embedder = None if args.bm25 else _embedder()
+        return show(tools.query(store, args.query, config, args.limit, embedder, _scorer() if args.rerank else None, now))
     if args.command == "find":
-        return show(store.table("files").where(compile_patterns([args.pattern])(F.regexp_replace("path", "^/", ""))).select("path").orderBy("path"))
+        return show(tools.find(store.table("files"), args.pattern, os.getcwd()))
     if args.command == "status":
         return show(indexing.stats(store))
     if args.command == "coverage":
         return show(completion.coverage(spark, store, str(Path(args.dir).resolve()), config.exclude_patterns))
     if args.command == "mdsync":
         return show(completion.conversion_state(spark, str(Path(args.dir).resolve()), config.exclude_patterns))
+    if args.command == "auto":
+        root = str(Path(args.dir).resolve())
+        outcomes, summary, before, after = completion.complete(spark, store, root, now, _converter, embedder=_embedder())
+        return show({"outcomes": [vars(o) for o in outcomes], "run": vars(summary), "before": before, "after": after})
+    if args.command == "seed":
+        root = str(Path(args.dir).resolve())
+        return show(metadata.apply_seed(store, f"{root}/{metadata.SEED_NAME}", root))
     if args.command == "meta":
         if args.path:
             row = [(str(Path(args.path).resolve()), args.tags or None)]

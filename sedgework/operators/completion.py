@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from sedgework.operators import reports
 from sedgework.operators.indexing import Summary, index_files
+from sedgework.operators.indexing import stats as index_stats
 from sedgework.operators.store import IndexStore
+from sedgework.session import checkpointed
 from sedgework.sources.extract import read_files
 from sedgework.sources.files import collect_files, resolve_extensions
 
+LISTED = 1000
+
 #: Runs a converter on (document, Markdown target); returns (succeeded, error text).
 Runner = Callable[[str, str], tuple[bool, str]]
 
@@ -59,21 +63,32 @@ def conversion_state(spark: SparkSession, root: str, patterns: list[str] | None
 
 
 def coverage(spark: SparkSession, store: IndexStore, root: str, patterns: list[str] | None = None, now: str | None = None) -> dict:
-    """Totals, the missing and modified Markdown files, and a verdict. Lists hold paths relative to the root.
+    """Totals, statistics of the index, the first missing and modified Markdown files, and a verdict.
+
+    Lists hold at most ``LISTED`` paths relative to the root, in order; counts are complete.
 
     ``stale``: the last run is more than 24 hours before ``now``, the present time if not given.
     """
     listing = read_files(collect_files(spark, [root], resolve_extensions(), patterns)).select("path", "real", "hash")
-    states = reports.coverage(listing, store.table("files").select("path", "hash")).collect()
+    states = checkpointed(reports.coverage(listing, store.table("files").select("path", "hash")))
+    counts = dict(states.groupBy("state").count().collect())
     docs = dict(conversion_state(spark, root, patterns).groupBy("state").count().collect())
     inside = lambda p: str(Path(p).relative_to(root)) if Path(p).is_relative_to(root) else p
-    by = {s: sorted(inside(r.path) for r in states if r.state == s) for s in ("missing", "modified")}
-    open_ = bool(by["missing"] or by["modified"])
+    first = lambda s: [inside(r.path) for r in states.where(F.col("state") == s).orderBy("path").limit(LISTED).collect()]
+    by = {s: first(s) for s in ("missing", "modified")}
+    missing, modified = counts.get("missing", 0), counts.get("modified", 0)
+    open_ = missing + modified > 0
     at = F.lit(now) if now else F.current_timestamp()
     flags = [F.lit(bool(x)) for x in (docs.get("needs_convert"), docs.get("checksum_missing"), open_)]
     stale = reports.is_stale(F.lit(store.value("last_build")).cast("string"), at)
     row = spark.range(1).select(stale.alias("stale"), reports.verdict(*flags, stale).alias("verdict")).first()
-    return {"total": len(states), "indexed": len(states) - len(by["missing"]), **by, "documents": docs, "stale": row["stale"], "verdict": row["verdict"]}
+    total = sum(counts.values())
+    own = index_stats(store).first()
+    held = {k: own[k] for k in ("total_chunks", "total_tokens", "embedded_count", "vector_coverage_pct", "last_build")}
+    return {
+        "total": total, "indexed": total - missing, "missing_count": missing, "modified_count": modified, **by, "documents": docs, **held,
+        "embedding_model": store.value("embedding_model"), "stale": row["stale"], "verdict": row["verdict"],
+    }
 
 
 def complete(
@@ -82,7 +97,8 @@ def complete(
     """Outcomes, the indexing run, and coverage before and after."""
     before = coverage(spark, store, root, now=now)
     outcomes = []
-    for row in conversion_state(spark, root).collect():  # documents below one root, acted on one by one
+    todo = checkpointed(conversion_state(spark, root).where("state <> 'up_to_date'"))  # as it is before anything is written
+    for row in todo.toLocalIterator():
         if row.state == "checksum_missing":
             write_checksum(row.path, str(Path(row.target_md).parent / f"{Path(row.path).name}.sha256"))
             outcomes.append(Outcome(row.path, "checksum"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import dicts
-from sedgework.operators import completion, embedding, indexing, metadata, reports
+from sedgework.operators import completion, embedding, indexing, metadata, reports, tools
 from sedgework.operators.store import IndexStore
 from sedgework.sources import config, extract, files, ignore
 
@@ -164,6 +164,8 @@ def test_command_line_embeds_through_a_server(spark, tmp_path, capsys, monkeypat
     monkeypatch.setenv("SEDGEWORK_EMBED_URL", f"http://127.0.0.1:{server.server_port}")
     monkeypatch.setenv("SEDGEWORK_EMBED_DIMENSIONS", "2")
     assert out("refresh")["indexed"] == 1 and out("status")[0]["vector_coverage_pct"] == 100
+    assert out("search", "nothing of it")[0]["vector"] == "1.000" and out("search", "nothing of it", "--bm25") == []
+    assert out("coverage", "--dir", str(tmp_path / "kb"))["embedding_model"]
     server.shutdown()
 
 
@@ -278,11 +280,19 @@ def test_command_line(spark, tmp_path, capsys):
     at = ["--store", str(tmp_path / "s"), "--json"]
     out = lambda *a: (main([*at, *a]), json.loads(capsys.readouterr().out))[1]
     assert out("index", str(tmp_path / "kb"))["indexed"] == 2
-    assert out("search", "alpha")[0]["id"] and out("status")[0]["total_files"] == 2
+    hit = out("search", "alpha")[0]
+    assert hit["file"] in ("a.md", "b.md") and hit["section"] in ("A", "B") and hit["lines"] == "1-3" and hit["child_lines"] == "3-3" and len(hit["hybrid"]) == 5
+    assert out("status")[0]["total_files"] == 2
     assert out("coverage", "--dir", str(tmp_path / "kb"))["verdict"] == "complete"
     assert out("meta", str(tmp_path / "kb" / "a.md"), "tag")[0]["metadata"] == "tag"
     assert len(out("find", "a.md")) == 1 and out("mdsync", "--dir", str(tmp_path / "kb")) == []
+    (tmp_path / "kb" / metadata.SEED_NAME).write_text(json.dumps({"b.md": "seeded", "none.md": "x"}))
+    assert out("seed", "--dir", str(tmp_path / "kb")) == {"applied": 1, "unknown": 1}
+    write(tmp_path / "kb", c_DOT_md="# C\n\nmore alpha text")
+    auto = out("auto", "--dir", str(tmp_path / "kb"))
+    assert (auto["before"]["verdict"], auto["run"]["indexed"], auto["after"]["verdict"], auto["after"]["total_chunks"]) == ("needs_index", 1, "complete", 3)
     assert out("exclude", "*.tmp")["exclude_patterns"] == ["*.tmp"] and out("off")["enabled"] is False
+    assert out("search", "alpha") == []
     out("clear")
     assert out("status")[0]["total_files"] == 0
 
@@ -323,3 +333,30 @@ def test_rows_of_files_are_replaced_deleted_and_flagged(spark, tmp_path):
     assert {r["path"]: (r["hash"], r["metadata"], r["embedded"]) for r in dicts(store.table("files"))} == {"/a": ("y", None, True), "/b": ("x", "tag", True)}
     store.delete_files(spark.createDataFrame([("/a",)], "path string"))
     assert [r["path"] for r in dicts(store.table("files"))] == ["/b"]
+
+
+def test_find_is_by_path_below_the_folder_or_by_name(spark):
+    known = spark.createDataFrame([("/kb/src/a.md",), ("/kb/b.md",), ("/other/src/a.md",), ("/other/b.md",)], "path string")
+    found = lambda pattern: [r["path"] for r in tools.find(known, pattern, "/kb").collect()]
+    assert found("src/*.md") == ["/kb/src/a.md"] and found("b.md") == ["/kb/b.md", "/other/b.md"] and found("/b.md") == ["/kb/b.md", "/other/b.md"]
+
+
+def test_a_stale_index_is_refreshed_before_a_query(spark, tmp_path):
+    write(tmp_path / "kb", a_DOT_md="# A\n\ntext of alpha")
+    store, own = IndexStore(spark, str(tmp_path / "index")), config.Config(tracked_paths=[str(tmp_path / "kb")])
+    tools.index(store, own, [str(tmp_path / "kb")], "2026-01-01T00:00:00Z")
+    write(tmp_path / "kb", b_DOT_md="# B\n\ntext of beta")
+    asked = lambda now: [r["file"] for r in tools.query(store, "beta", own, now=now).collect()]
+    assert asked("2026-01-02T00:00:00Z") == [] and asked("2026-01-03T00:00:00Z") == ["b.md"]
+
+
+def test_tags_are_generated_merged_written_and_applied(spark, tmp_path):
+    write(tmp_path / "kb", a_DOT_md="# A\n\ntext of alpha", b_DOT_md="# B\n\ntext of beta")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    root = str(tmp_path / "kb")
+    indexing.index_files(store, files.collect_files(spark, [root]), None, "2026-01-01T00:00:00Z")
+    seed = str(tmp_path / "tags.json")
+    (tmp_path / "tags.json").write_text(json.dumps({"a.md": "kept"}))
+    assert metadata.generate_seed(store, seed, root, lambda path, content: "Tags: " + content.split()[-1]) == {"generated": 1, "applied": 2, "unknown": 0}
+    assert json.loads((tmp_path / "tags.json").read_text()) == {"a.md": "kept", "b.md": "beta"}
+    assert {os.path.basename(r["path"]): r["metadata"] for r in dicts(store.table("files"))} == {"a.md": "kept", "b.md": "beta"}
