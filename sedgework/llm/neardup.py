@@ -1,16 +1,16 @@
 """Near-duplicate records with small edits, by multi-index hashing.
 
 Two records are near copies if they share at least ``THRESHOLD`` of their distinct
-5-character substrings. A record's fingerprint is a row of 48 symbols, each the least
+5-character substrings. A record's fingerprint is a row of 192 symbols, each the least
 hash of its substrings in one bin; the distance of two fingerprints is the number of
-symbols in which they differ. The fingerprint is cut into segments of ``SEGMENT``
-symbols. The Hamming ball of radius 1 around a segment is enumerated by leaving out
-each symbol in turn; records that agree on one of these keys differ in at most one
-symbol of the segment and are fetched by a join on the key. By the pigeonhole
-principle no pair within ``2 * SEGMENTS - 1`` symbols can be missed. The key's rows
-carry the whole fingerprint at four bits a symbol, so that the complete distance is
-tested inside that join and pairs that merely share phrases are never written. What
-remains is verified on the texts.
+symbols that differ in their lowest bit. The indexed part of the fingerprint is cut
+into segments of ``SEGMENT`` symbols. The Hamming ball of radius 1 around a segment is
+enumerated by leaving out each symbol in turn; records that agree on one of these keys
+differ in at most one symbol of the segment and are fetched by a join on the key. By
+the pigeonhole principle no pair can be missed that differs in fewer than
+``2 * SEGMENTS`` of the indexed symbols. The key's rows carry the fingerprint's bits,
+so that the complete distance is tested inside that join and pairs that merely share
+phrases are never written. What remains is verified on the texts.
 
 Copies are one class from the start: the normalised text's hash stands for all of
 them, so a group of copies costs one key row per task, not its square.
@@ -35,12 +35,12 @@ from sedgework.session import checkpointed
 
 LEAST_CHARS, SHINGLE, THRESHOLD = 240, 5, 0.6
 SEGMENTS, SEGMENT = 12, 4
-SYMBOLS, BINS, FUNCTIONS = SEGMENTS * SEGMENT, 16, 3
-#: A pair at the threshold is expected to differ in 18 symbols at four bits each; 27 is 2.7 deviations more.
-MOST_SYMBOLS = 27
-SKETCH = tuple(f"s{i + 1}" for i in range(SYMBOLS // 16))
+BINS, FUNCTIONS = 32, 6
+#: Of 192 bits, a pair at the threshold is expected to differ in 38.4; 54 is 2.8 deviations more.
+MOST_BITS = 54
+SKETCH = tuple(f"s{i + 1}" for i in range(BINS * FUNCTIONS // 64))
 #: Keys of more records than this are joined in salted parts. Counts are kept in so many cells.
-HOT_RECORDS, HOT_CELLS = 4096, 1 << 16
+HOT_RECORDS, HOT_CELLS = 1 << 14, 1 << 16
 
 
 _LONGS = ", ".join(f"{s} long" for s in SKETCH)
@@ -80,8 +80,9 @@ def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[
     sketches = np.zeros((len(rows), len(SKETCH)), np.int64)
     if fresh:
         hashes, owner = fp.char_shingles(fresh, SHINGLE)
-        own = np.ascontiguousarray(fp.bin_minima(hashes, owner, len(fresh), BINS, FUNCTIONS))
-        sketches[new] = fp.pack_nibbles(own)
+        minima = fp.bin_minima(hashes, owner, len(fresh), BINS, FUNCTIONS)
+        sketches[new] = fp.pack_bits(minima)
+        own = np.ascontiguousarray(minima[:, : SEGMENTS * SEGMENT])
         for i, row in zip(np.flatnonzero(new), own):
             symbols[i] = row.tobytes()
     return pa.RecordBatch.from_arrays(
@@ -97,7 +98,7 @@ def _block(kinds: list[str], ids: list[str], texts: list[str | None], seen: set[
 
 
 def fingerprinted(records: DataFrame) -> DataFrame:
-    """``kind, id, class``, the fingerprint (four bits a symbol, and whole) of ``records(kind, id, text)`` with at least 240 normalised characters."""
+    """``kind, id, class``, the fingerprint's bits and its indexed symbols of ``records(kind, id, text)`` with at least 240 normalised characters."""
     rows = records.where((F.char_length("text") >= LEAST_CHARS) & F.col("id").isNotNull()).select("kind", "id", "text")
     return rows.mapInArrow(_fingerprints, "kind string, id string, class long, " + _LONGS + ", symbols binary")
 
@@ -106,7 +107,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ball of each segment: one key for each symbol left out, salted with the kind."""
     weights = fp.mix(np.arange(1, SEGMENTS * SEGMENT + 1, dtype=np.uint64)).reshape(SEGMENTS, SEGMENT)
     places = fp.mix(np.arange(1000, 1000 + SEGMENTS * SEGMENT, dtype=np.uint64)).reshape(SEGMENTS, SEGMENT)
-    balls, salts = SYMBOLS, {}
+    balls, salts = SEGMENTS * SEGMENT, {}
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -125,14 +126,8 @@ def _keyed(prints: DataFrame) -> DataFrame:
 
 
 def distance(a: str, b: str) -> Column:
-    """In how many symbols two fingerprints at four bits a symbol differ, at least."""
-    return reduce(add, (_differing(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH))
-
-
-def _differing(x: Column) -> Column:
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    """In how many bits two fingerprints differ."""
+    return reduce(add, (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH))
 
 
 def _hot_cells(rows: DataFrame, hot: int) -> DataFrame | None:
@@ -174,7 +169,7 @@ def meeting(rows: DataFrame, near: Column | None = None, hot: int = HOT_RECORDS)
 
 def candidates(prints: DataFrame, hot: int = HOT_RECORDS) -> DataFrame:
     """``a, b``: classes within radius 1 in some segment and near in the complete fingerprint, each pair once."""
-    return meeting(_keyed(prints), distance("l", "r") <= MOST_SYMBOLS, hot)
+    return meeting(_keyed(prints), distance("l", "r") <= MOST_BITS, hot)
 
 
 @dataclass(frozen=True)

@@ -153,16 +153,16 @@ def test_hot_keys_are_joined_in_parts_with_the_same_result(spark):
     assert {tuple(r) for r in N.candidates(prints, hot=8).collect()} == whole and len(whole) > 1000
 
 
-def test_distance_counts_symbols(spark):
+def test_distance_counts_bits(spark):
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 1 << 31, (40, N.SYMBOLS)).astype(np.uint32)
+    a = rng.integers(0, 1 << 31, (40, N.BINS * N.FUNCTIONS)).astype(np.uint32)
     b = np.where(rng.random(a.shape) < 0.4, rng.integers(0, 1 << 31, a.shape).astype(np.uint32), a)
-    rows = [(*map(int, x), *map(int, y)) for x, y in zip(fp.pack_nibbles(a), fp.pack_nibbles(b))]
+    rows = [(*map(int, x), *map(int, y)) for x, y in zip(fp.pack_bits(a), fp.pack_bits(b))]
     names = [f"{side}{s}" for side in "ab" for s in N.SKETCH]
     df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
     df = df.select(*(F.struct(*(F.col(f"{side}{s}").alias(s) for s in N.SKETCH)).alias(side) for side in "ab"))
     got = [r[0] for r in df.select(N.distance("a", "b")).collect()]
-    assert got == ((a & 15) != (b & 15)).sum(axis=1).tolist()
+    assert got == ((a & 1) != (b & 1)).sum(axis=1).tolist()
 
 
 def test_values_too_many_for_a_bitmap_are_joined(spark, monkeypatch):
