@@ -24,9 +24,13 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_paths(*_states(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("paths"))
 
 
-def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "files").where("path is not null")
-    return split_values(files.groupBy("path").agg(F.max("metadata").alias("metadata")), "path", "metadata")
+    return files.groupBy("path").agg(F.max("metadata").alias("metadata"))
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_values(_packed(spark, sf_dir), "path", "metadata")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,15 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from sedgework.plans import data_queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
 
 def plan(spark, name):
-    df = entry.queries()[name](spark, DATA)
+    """Plan of a query; ``packed`` is what p7 splits, whose own plan begins where it was written."""
+    df = (entry.queries() | {"packed": data_queries._packed})[name](spark, DATA)
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
@@ -23,9 +25,9 @@ def read(text, table):
 @pytest.mark.parametrize(
     "name, table, columns",
     [
-        ("p1_found", "files", {"path", "hash", "indexed", "embedded"}),
-        ("p1_found", "scans", {"scan_id", "path", "hash", "seen_at"}),
-        ("p7_found", "files", {"path", "metadata"}),
+        ("p1_reasons", "files", {"path", "hash", "indexed", "embedded"}),
+        ("p1_reasons", "scans", {"scan_id", "path", "hash", "seen_at"}),
+        ("packed", "files", {"path", "metadata"}),
         ("index_decisions", "scans", {"path", "hash", "seen_at", "scan_id", "size"}),
         ("chunk_identity", "chunks", {"id", "file_path", "chunk_content", "line_start"}),
         ("chunk_markdown", "documents", {"doc_id", "text"}),
@@ -35,7 +37,7 @@ def test_scans_read_what_is_needed(spark, name, table, columns):
     assert read(plan(spark, name), table) == columns
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p7_found", "index_decisions", "upsert", "prune_dropped", "coverage_states", "conversion_states"])
+@pytest.mark.parametrize("name", ["p1_reasons", "packed", "index_decisions", "upsert", "prune_dropped", "coverage_states", "conversion_states"])
 def test_filters_reach_the_scan(spark, name):
     assert re.search(r"PushedFilters: \[[^\]]*IsNotNull", plan(spark, name))
 
@@ -46,5 +48,5 @@ def test_no_cartesian_product(spark, name):
 
 
 def test_first_pass_combines_before_the_shuffle(spark):
-    text = plan(spark, "p1_found")
+    text = plan(spark, "p1_reasons")
     assert text.count("partial_max") >= 2
