@@ -3,8 +3,8 @@
 All terms of the batch are one automaton that each text passes once to be counted and
 once to be scored, so the cost of a text does not grow with the number of queries. The
 first pass gives back counts per term and task, the second scores rows where they are
-read and gives back a task's best ``limit`` of each query; texts and hits beyond those
-are neither written nor shuffled. Batches are taken in blocks of bounded size.
+read and gives back a task's best ``limit`` of each query; hits beyond those are neither
+written nor shuffled. What is searched is written once, as making it may be costly. Batches are taken in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgework.functions.text import trigrams
+from sedgework.session import written
 
 WEIGHTS = (1.0, 0.5, 1.5)
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -149,8 +150,8 @@ def bm25(
     if not parsed:
         return spark.createDataFrame([], schema)
     length = sum((trigrams(F.col(c)) for c in columns), F.lit(0))
-    rows = docs.select("id", length.alias("length"), *(F.lower(c).alias(c) for c in columns))
-    total, chars = docs.agg(F.count("*"), F.sum(length)).first()
+    rows = written(docs.select("id", length.alias("length"), *(F.lower(c).alias(c) for c in columns)))
+    total, chars = rows.agg(F.count("*"), F.sum("length")).first()
     mean = (chars or 0) / total if total else 0.0
     out = spark.createDataFrame([], f"query_id long, id {kind}, score double")
     for block in _blocks([(q, " ".join(ts)) for q, ts in parsed]):
